@@ -4,6 +4,7 @@ from leafspan.catalog.base import query, table
 from leafspan.functions import text as T
 from leafspan.functions.text import CONNECTORS, WHITESPACE
 from leafspan.operators import blocks, outline
+from leafspan.operators.scan import segment_rows
 from leafspan.sources.corpus import blocks_from_documents
 from pyspark.sql import functions as F
 
@@ -40,8 +41,15 @@ numbered AS (
 """
 
 
+def segment_length(spark, sf):
+    """Segment length for per-document scans, from the longest document."""
+    longest = table(spark, sf, "documents").agg(F.max(F.size(F.split("text", "\n")))).first()[0]
+    return segment_rows(longest)
+
+
 def numbered(spark, sf):
-    return blocks.renumber(blocks_from_documents(table(spark, sf, "documents", spread=True)))
+    made = blocks_from_documents(table(spark, sf, "documents", spread=True))
+    return blocks.renumber(made, segment_length(spark, sf))
 
 
 @query(
@@ -128,7 +136,7 @@ walk AS (
     f"WITH RECURSIVE {CANDIDATES} SELECT w.doc_id, w.start AS pdf_id, w.at AS candidate_id FROM walk w WHERE taken",
 )
 def blocks_continuations(spark, sf):
-    return blocks.continuation_candidates(numbered(spark, sf))
+    return blocks.continuation_candidates(numbered(spark, sf), rows=segment_length(spark, sf))
 
 
 @query(
@@ -146,8 +154,8 @@ FROM numbered n LEFT JOIN tails t ON t.doc_id = n.doc_id AND t.pdf_id = n.pdf_id
 LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.pdf_id = n.pdf_id""",
 )
 def blocks_stitch(spark, sf):
-    made = numbered(spark, sf)
-    return blocks.stitch(made, blocks.continuation_candidates(made)).select("doc_id", "pdf_id", "text", "invalid")
+    made, rows = numbered(spark, sf), segment_length(spark, sf)
+    return blocks.stitch(made, blocks.continuation_candidates(made, rows=rows)).select("doc_id", "pdf_id", "text", "invalid")
 
 
 @query(
@@ -160,7 +168,7 @@ SELECT doc_id, pdf_id, previous_id FROM tables
 WHERE caption = '' AND footnote = '' AND page_idx > 0 AND previous_page = page_idx - 1 AND previous_columns = n_columns""",
 )
 def blocks_previous_table(spark, sf):
-    return blocks.previous_table(numbered(spark, sf))
+    return blocks.previous_table(numbered(spark, sf), rows=segment_length(spark, sf))
 
 
 OUTLINE = f"""{NUMBERED},
@@ -179,18 +187,18 @@ outline AS (
 """
 
 
-def outline_of(made):
-    return outline.repair(outline.parents_by_level(outline.titles(made))).select("doc_id", "pdf_id", "text_level", "parent_id", "text")
+def outline_of(made, rows):
+    return outline.repair(outline.parents_by_level(outline.titles(made), rows)).select("doc_id", "pdf_id", "text_level", "parent_id", "text")
 
 
 @query("outline_parents", f"WITH {OUTLINE} SELECT doc_id, pdf_id, text_level, parent_id FROM parented")
 def outline_parents(spark, sf):
-    return outline.parents_by_level(outline.titles(numbered(spark, sf))).select("doc_id", "pdf_id", "text_level", "parent_id")
+    return outline.parents_by_level(outline.titles(numbered(spark, sf)), segment_length(spark, sf)).select("doc_id", "pdf_id", "text_level", "parent_id")
 
 
 @query("outline_repair", f"WITH {OUTLINE} SELECT doc_id, pdf_id, text_level, parent_id FROM outline")
 def outline_repair(spark, sf):
-    return outline_of(numbered(spark, sf)).drop("text")
+    return outline_of(numbered(spark, sf), segment_length(spark, sf)).drop("text")
 
 
 @query(
@@ -200,9 +208,9 @@ SELECT o.doc_id, o.pdf_id, CAST(coalesce(lead(o.pdf_id) OVER (PARTITION BY o.doc
 FROM outline o JOIN (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id) c ON c.doc_id = o.doc_id""",
 )
 def outline_ranges(spark, sf):
-    made = numbered(spark, sf)
+    made, rows = numbered(spark, sf), segment_length(spark, sf)
     counts = made.groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
-    return outline.ranges(outline_of(made), counts).select("doc_id", "pdf_id", "end_id")
+    return outline.ranges(outline_of(made, rows), counts, rows).select("doc_id", "pdf_id", "end_id")
 
 
 @query(
@@ -212,8 +220,8 @@ SELECT n.doc_id, n.pdf_id, max(o.pdf_id) AS title_id FROM numbered n
 LEFT JOIN outline o ON o.doc_id = n.doc_id AND o.pdf_id <= n.pdf_id GROUP BY ALL""",
 )
 def outline_assign(spark, sf):
-    made = numbered(spark, sf)
-    return outline.assign_blocks(made, outline_of(made)).select("doc_id", "pdf_id", "title_id")
+    made, rows = numbered(spark, sf), segment_length(spark, sf)
+    return outline.assign_blocks(made, outline_of(made, rows), rows).select("doc_id", "pdf_id", "title_id")
 
 
 @query(
@@ -221,7 +229,7 @@ def outline_assign(spark, sf):
     f"WITH {OUTLINE} SELECT doc_id, count(*) AS n_titles, max(text_level) AS max_level FROM outline GROUP BY doc_id",
 )
 def outline_levels(spark, sf):
-    return outline.level_summary(outline_of(numbered(spark, sf)))
+    return outline.level_summary(outline_of(numbered(spark, sf), segment_length(spark, sf)))
 
 
 @query(
@@ -236,7 +244,7 @@ SELECT doc_id, pdf_id, text_level FROM ranked
 WHERE text_level = 0 OR (text_level = 1 AND (up <= 3 OR down <= 5)) OR (tail <= 5 AND (last_one IS NULL OR pdf_id >= last_one))""",
 )
 def outline_context(spark, sf):
-    return outline.chunk_context(outline_of(numbered(spark, sf)))
+    return outline.chunk_context(outline_of(numbered(spark, sf), segment_length(spark, sf)))
 
 
 @query(

@@ -30,7 +30,7 @@ def merge_parser_outputs(middle: DataFrame, content: DataFrame, image_root: str)
     )
 
 
-def renumber(blocks: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def renumber(blocks: DataFrame, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Drop invalid blocks and number the rest 1..n per document as ``pdf_id``."""
     kept = blocks.filter(~F.coalesce(F.col("invalid"), F.lit(False)))
     return dense_number(kept.drop("pdf_id"), ["doc_id"], "pos", "pdf_id", rows)
@@ -49,7 +49,7 @@ def mark_incomplete(blocks: DataFrame) -> DataFrame:
 
 
 def continuation_candidates(
-    blocks: DataFrame, max_page_gap: int = MAX_PAGE_GAP, rows: int = ROWS_PER_SEGMENT
+    blocks: DataFrame, max_page_gap: int = MAX_PAGE_GAP, rows: int | None = ROWS_PER_SEGMENT
 ) -> DataFrame:
     """Blocks that may continue an incomplete paragraph, as ``(doc_id, pdf_id, candidate_id)``.
 
@@ -137,7 +137,7 @@ def _joinable(text):
     )
 
 
-def previous_table(blocks: DataFrame, columns: str = "n_columns", rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def previous_table(blocks: DataFrame, columns: str = "n_columns", rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Pairs ``(doc_id, pdf_id, previous_id)`` of a table without caption and footnote and the table it may continue.
 
     The nearest earlier table must sit on the page before and have the same number of columns.

@@ -29,7 +29,7 @@ def titles(blocks: DataFrame) -> DataFrame:
     return blocks.filter(F.col("text").isNotNull() & F.col("text_level").isNotNull())
 
 
-def parents_by_level(titles_: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def parents_by_level(titles_: DataFrame, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Add ``parent_id``: the nearest earlier title of a smaller level, 0 when there is none.
 
     One running maximum per level present in the data replaces a stack that would have to walk a document in order.
@@ -75,7 +75,7 @@ def apply_judgement(outline: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
-def ranges(outline: DataFrame, block_counts: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def ranges(outline: DataFrame, block_counts: DataFrame, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Add ``end_id``: the id of the next title, one past the last block for the last title."""
     following = prefix_scan(
         outline, ["doc_id"], ["pdf_id"], {"__next": Running("last", F.col("pdf_id"), inclusive=False)},
@@ -88,7 +88,7 @@ def ranges(outline: DataFrame, block_counts: DataFrame, rows: int = ROWS_PER_SEG
     )
 
 
-def assign_blocks(blocks: DataFrame, outline: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def assign_blocks(blocks: DataFrame, outline: DataFrame, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Add ``title_id`` to each block: the nearest outline title at or before it, NULL before the first title.
 
     Title ranges tile a document, so the range join is a running last value.

@@ -42,7 +42,7 @@ def node_columns(is_title: Column) -> dict[str, Column]:
     }
 
 
-def build(assigned: DataFrame, outline: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def build(assigned: DataFrame, outline: DataFrame, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Node table without roots from blocks that carry ``title_id`` and ``in_outline``.
 
     Blocks before the first title are left out. A level-0 title hangs on the root; any other title on its parent,
@@ -116,6 +116,7 @@ def root_paths(nodes: DataFrame, keys: Sequence[str], node: str, parent: str) ->
         F.when(F.col(parent) > 0, F.col(parent)).alias("__up"),
         F.array(F.col(node)).alias("__path"), F.col(parent).isNull().alias("__orphan"),
     )
+    state = cut_lineage(state)
     while not state.filter(F.col("__up").isNotNull()).isEmpty():
         target = state.select(
             *keys, F.col("__node").alias("__up"), F.col("__up").alias("__next"), F.col("__path").alias("__front"),
@@ -147,7 +148,7 @@ def siblings(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def adjacent_titles(nodes: DataFrame, rows: int = ROWS_PER_SEGMENT) -> DataFrame:
+def adjacent_titles(nodes: DataFrame, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
     """Nearest sibling titles before and after every title, NULL at the ends."""
     heads = nodes.filter(F.col("type") == "title").select("doc_id", "parent_id", "index_id")
     segment = position_segment("index_id", rows)
