@@ -4,7 +4,7 @@ from importlib import import_module
 
 from leafspan.catalog.base import ORACLES, QUERIES
 
-MODULES = ["lexical", "vectors", "ranking", "blocks", "tree"]
+MODULES = ["lexical", "vectors", "ranking", "blocks", "tree", "entities"]
 
 
 def _load() -> None:

@@ -63,12 +63,12 @@ nearest AS (
 
 @query(
     "vector_nearest_within",
-    f"WITH {NEAREST} SELECT query_id, vec_id, round(distance, 6) AS distance, FALSE AS forced FROM nearest WHERE distance < 0.3",
+    f"WITH {NEAREST} SELECT query_id, vec_id, round(distance, 6) AS distance, FALSE AS forced FROM nearest WHERE distance < 0.62",
 )
 def vector_nearest_within(spark, sf):
     data = table(spark, sf, "embeddings")
     asked = data.select(F.col("vec_id").alias("query_id"), "embedding")
-    found = vectors.nearest_within(asked, data, "query_id", "embedding", "vec_id", "embedding", 0.3, exclude_same_id=True)
+    found = vectors.nearest_within(asked, data, "query_id", "embedding", "vec_id", "embedding", 0.62, exclude_same_id=True)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -77,14 +77,14 @@ def vector_nearest_within(spark, sf):
     f"""WITH {NEAREST},
 closest AS (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, query_id, vec_id) AS rank FROM nearest)
-SELECT query_id, vec_id, label, round(distance, 6) AS distance, distance >= 0.08 AS forced
-FROM closest WHERE distance < 0.08 OR rank = 1""",
+SELECT query_id, vec_id, label, round(distance, 6) AS distance, distance >= 0.53 AS forced
+FROM closest WHERE distance < 0.53 OR rank = 1""",
 )
 def vector_force_one(spark, sf):
     data = table(spark, sf, "embeddings")
     asked = data.select(F.col("vec_id").alias("query_id"), "embedding", "label")
     found = vectors.nearest_within(
-        asked, data, "query_id", "embedding", "vec_id", "embedding", 0.08, group="label", exclude_same_id=True
+        asked, data, "query_id", "embedding", "vec_id", "embedding", 0.53, group="label", exclude_same_id=True
     )
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -116,3 +116,21 @@ def vector_label_similarity(spark, sf):
     data = table(spark, sf, "embeddings")
     scored = V.positive_similarity(V.cosine(F.col("embedding"), F.col("centroid")))
     return data.join(centroids(spark, sf), "label").select("vec_id", "label", F.round(scored, 6).alias("positive_similarity"))
+
+
+@query(
+    "vector_neighbours_in_scope",
+    f"""WITH {WIDE}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(similarity, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS similarity
+    FROM wide a JOIN wide b ON a.label = b.label AND a.vec_id <> b.vec_id))
+WHERE rank <= 3 AND similarity >= 0.2""",
+)
+def vector_neighbours_in_scope(spark, sf):
+    data = table(spark, sf, "embeddings")
+    asked = data.select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    found = vectors.nearest(
+        asked, data, "query_id", "embedding", "vec_id", "embedding", 3, scope="label", min_similarity=0.2, exclude_same_id=True
+    )
+    return found.withColumn("similarity", F.round("similarity", 6))

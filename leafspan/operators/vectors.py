@@ -37,34 +37,22 @@ def _angles(matrix: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(matrix @ pivots.T, -1.0, 1.0))
 
 
-def _assign_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the angle to it."""
+def _angles_to_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Add the angle of each row's ``vector`` to every pivot."""
 
-    def assign(batches):
+    def measure(batches):
         for batch in batches:
-            angles = _angles(_unit(batch["vector"]), pivots)
-            batch["cell"] = angles.argmin(axis=1).astype("int32")
-            batch["angle"] = angles.min(axis=1)
+            batch["angles"] = list(_angles(_unit(batch["vector"]), pivots)) if len(batch) else []
             yield batch
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema]
-    return vectors.mapInPandas(assign, ", ".join([*fields, "cell int", "angle double"]))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInPandas(measure, ", ".join([*fields, "angles array<double>"]))
 
 
-def _cell_limits(cells: DataFrame) -> pd.DataFrame:
-    """One row per cell, at most ``PIVOTS``: row count and range of angles."""
-    return (
-        cells.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-        .toPandas()
-        .sort_values("cell")
-    )
-
-
-def _visit(
+def _compare(
     queries: DataFrame, base: DataFrame, k: int, id_type: str, query_type: str, minimum: float | None
 ) -> DataFrame:
-    """Compare routed queries (``query_id, vector, cell, block, part``) with the base block of the same address."""
+    """Best ``k`` of each base block for the queries routed to the same ``(scope, cell, block, part)``."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -84,7 +72,7 @@ def _visit(
         )
         return frame if minimum is None else frame[frame["similarity"] >= minimum]
 
-    address = ["cell", "block", "part"]
+    address = ["scope", "cell", "block", "part"]
     return (
         queries.groupBy(*address)
         .cogroup(base.groupBy(*address))
@@ -100,6 +88,7 @@ def nearest(
     vector_id: str,
     vector: str,
     k: int,
+    scope: str | None = None,
     min_similarity: float | None = None,
     exclude_same_id: bool = False,
     block_rows: int = BLOCK_ROWS,
@@ -107,95 +96,96 @@ def nearest(
 ) -> DataFrame:
     """Exact ``(query_id, rank, vector_id, similarity)`` of the ``k`` most similar vectors per query.
 
-    Ties are broken by vector id. ``min_similarity`` drops matches below it and then bounds the search directly;
-    without it a first visit to one block of the query's own cell yields the bound.
+    Ties are broken by vector id. With ``scope``, a column of both inputs, a query only meets vectors of its own
+    scope (a document); ids must then be unique over all scopes. ``min_similarity`` drops matches below it and then
+    bounds the search directly; without it a first visit to one block of the query's nearest cell yields the bound.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[vector_id].dataType.simpleString()
     query_type = queries.schema[query_id].dataType.simpleString()
-    schema = f"{query_id} {query_type}, rank int, {vector_id} {id_type}, similarity double"
-
     spare = 1 if exclude_same_id else 0
-    members = vectors.select(F.col(vector_id).alias("vector_id"), F.col(vector).cast("array<double>").alias("vector"))
+
+    def scoped(df: DataFrame, id_column: str, vector_column: str, name: str) -> DataFrame:
+        return df.select(
+            (F.col(scope) if scope else F.lit(0)).alias("scope"),
+            F.col(id_column).alias(name), F.col(vector_column).cast("array<double>").alias("vector"),
+        )
+
     # Copies of one vector are compared once, under the smallest id that carries it. Ties go to smaller ids, so the
     # first k copies are all a result can ever use.
-    same = Window.partitionBy("vector").orderBy("vector_id")
+    same = Window.partitionBy("scope", "vector").orderBy("vector_id")
     copies = (
-        members.withColumn("nth", F.row_number().over(same))
+        scoped(vectors, vector_id, vector, "vector_id")
+        .withColumn("nth", F.row_number().over(same))
         .filter(F.col("nth") <= k + spare)
         .withColumn("vector_key", F.first("vector_id").over(same))
         .persist()
     )
-    distinct = copies.filter(F.col("nth") == 1).select("vector_key", "vector", F.xxhash64("vector").alias("vector_hash"))
-    pivots = _choose_pivots(distinct, pivot_count)
+    distinct = copies.filter(F.col("nth") == 1).select("scope", "vector_key", "vector")
+    # A few blocks per cell; a base that fits one block is compared in one visit.
+    wanted = min(pivot_count, -(-distinct.count() * 4 // block_rows)) if pivot_count > 1 else 1
+    pivots = _choose_pivots(distinct, max(1, wanted if wanted > 4 else 1))
     if not len(pivots):
-        return spark.createDataFrame([], schema)
-    cells = _assign_cells(distinct, pivots).persist()
-    limits = _cell_limits(cells)
-    blocks = {int(c): int(-(-n // block_rows)) for c, n in zip(limits["cell"], limits["n"], strict=True)}
-    block_table = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))])
-    placed = cells.withColumn("blocks", F.element_at(block_table, F.col("cell")))
-    placed = placed.withColumn("block", F.pmod("vector_hash", F.col("blocks")).cast("int")).drop("blocks", "angle")
-
-    asked = queries.select(
-        F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("vector")
+        return spark.createDataFrame([], f"{query_id} {query_type}, rank int, {vector_id} {id_type}, similarity double")
+
+    placed = _angles_to_pivots(distinct, pivots).withColumn("angle", F.array_min("angles"))
+    placed = placed.withColumn("cell", (F.array_position("angles", F.col("angle")) - 1).cast("int")).drop("angles").persist()
+    limits = (
+        placed.groupBy("scope", "cell")
+        .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+        .withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
+        .persist()
+    )
+    placed = placed.join(limits.select("scope", "cell", "blocks"), ["scope", "cell"]).withColumn(
+        "block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
     )
-    occupied = limits["cell"].to_numpy(dtype=np.int64)
-    low, high = limits["low"].to_numpy(), limits["high"].to_numpy()
-    block_counts = np.array([blocks[int(c)] for c in occupied])
-
-    def route(bounded: bool):
-        def run(batches):
-            for batch in batches:
-                angles = _angles(_unit(batch["vector"]), pivots[occupied])
-                if bounded:
-                    limit = batch["bound"].to_numpy()[:, None] + ANGLE_SLACK
-                    gap = np.maximum(np.maximum(angles - high, low - angles), 0.0)
-                    rows, cols = np.nonzero(gap <= limit)
-                    counts = block_counts[cols]
-                    rows, cols = np.repeat(rows, counts), np.repeat(cols, counts)
-                    block = np.concatenate([np.arange(c) for c in counts]) if len(counts) else np.zeros(0)
-                else:
-                    rows, cols = np.arange(len(batch)), angles.argmin(axis=1)
-                    block = pd.util.hash_array(batch["query_id"].to_numpy()) % block_counts[cols].astype("uint64")
-                yield pd.DataFrame(
-                    {
-                        "query_id": batch["query_id"].to_numpy()[rows],
-                        "vector": batch["vector"].to_numpy()[rows],
-                        "cell": occupied[cols].astype("int32"),
-                        "block": np.asarray(block).astype("int32"),
-                    }
-                )
-
-        return run
-
-    routed_schema = f"query_id {query_type}, vector array<double>, cell int, block int"
-
-    def visit(routed: DataFrame) -> DataFrame:
-        """Split the visitors of a block into parts so that neither side of a task grows with the data."""
-        visitors = routed.groupBy("cell", "block").agg(F.count("*").alias("visitors"))
-        parts = visitors.select("cell", "block", F.ceil(F.col("visitors") / block_rows).cast("int").alias("parts"))
-        left = routed.join(parts, ["cell", "block"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-        right = placed.join(parts, ["cell", "block"]).withColumn(
+    asked = _angles_to_pivots(scoped(queries, query_id, query_vector, "query_id"), pivots)
+    reach = (
+        asked.select("scope", "query_id", F.posexplode("angles").alias("cell", "angle"))
+        .join(limits, ["scope", "cell"])
+        .withColumn("gap", F.greatest(F.col("angle") - F.col("high"), F.col("low") - F.col("angle"), F.lit(0.0)))
+    )
+    questions = asked.select("query_id", "vector")
+
+    def visit(targets: DataFrame) -> DataFrame:
+        """Compare ``(scope, query_id, cell, block)`` targets; blocks with many visitors are visited in parts."""
+        visitors = targets.groupBy("scope", "cell", "block").agg(F.count("*").alias("visitors"))
+        parts = visitors.withColumn("parts", F.ceil(F.col("visitors") / block_rows).cast("int")).drop("visitors")
+        left = (
+            targets.join(parts, ["scope", "cell", "block"])
+            .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+            .join(questions, "query_id")
+        )
+        right = placed.join(parts, ["scope", "cell", "block"]).withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         )
-        return _visit(
-            left.select("query_id", "vector", "cell", "block", "part"),
-            right.select("vector_key", "vector", "cell", "block", "part"),
+        return _compare(
+            left.select("query_id", "vector", "scope", "cell", "block", "part"),
+            right.select("vector_key", "vector", "scope", "cell", "block", "part"),
             k + spare, id_type, query_type, min_similarity,
         )
 
-    if min_similarity is not None:
-        bound = F.lit(float(np.arccos(np.clip(min_similarity - ROUNDING, -1.0, 1.0))))
-        bounded = asked.withColumn("bound", bound)
+    if len(pivots) == 1:
+        bounded = reach.withColumn("bound", F.lit(float(np.pi)))
+    elif min_similarity is not None:
+        bounded = reach.withColumn("bound", F.lit(float(np.arccos(np.clip(min_similarity - ROUNDING, -1.0, 1.0)))))
     else:
-        first = visit(asked.mapInPandas(route(False), routed_schema))
+        home = reach.groupBy("scope", "query_id").agg(F.min(F.struct("angle", "cell", "blocks")).alias("home"))
+        first = visit(
+            home.select(
+                "scope", "query_id", "home.cell",
+                F.pmod(F.xxhash64("query_id"), F.col("home.blocks")).cast("int").alias("block"),
+            )
+        )
         kth = first.groupBy("query_id").agg(
             F.when(F.count("*") >= k + spare, F.acos(F.greatest(F.min("similarity") - ROUNDING, F.lit(-1.0))))
             .otherwise(F.lit(float(np.pi))).alias("bound")
         )
-        bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float(np.pi))))
-    matches = visit(bounded.mapInPandas(route(True), routed_schema))
+        bounded = reach.join(kth, "query_id")
+    matches = visit(
+        bounded.filter(F.col("gap") <= F.col("bound") + ANGLE_SLACK)
+        .select("scope", "query_id", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    )
 
     best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("vector_key").asc())
     leaders = matches.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + spare).drop("rank")

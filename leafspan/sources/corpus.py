@@ -63,3 +63,43 @@ def _markup(cells):
         F.lit("<tr><td>"), F.array_join(F.slice(cells, i, CELLS_PER_ROW), "</td><td>"), F.lit("</td></tr>")
     )
     return F.concat(F.lit("<table>"), F.array_join(F.transform(starts, row), ""), F.lit("</table>"))
+
+
+NAME_PATTERN = "[A-Z][a-z]{3,}"
+
+
+def _named_lines(documents: DataFrame) -> DataFrame:
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    return lines.select(
+        "doc_id", (F.col("at") + 1).alias("node_id"), F.expr(f"regexp_extract_all(raw, '{NAME_PATTERN}', 0)").alias("names")
+    )
+
+
+def type_of(name):
+    """Entity type of a name, by its length."""
+    return (
+        F.when(F.length(name) % 3 == 0, "person").when(F.length(name) % 3 == 1, "organization").otherwise("geographic place")
+    )
+
+
+def mentions_from_documents(documents: DataFrame) -> DataFrame:
+    """Capitalised words as raw entity mentions of the line they stand in."""
+    return _named_lines(documents).select("doc_id", "node_id", F.posexplode("names").alias("seq", "entity_name")).select(
+        "doc_id", "node_id", "seq", "entity_name", type_of(F.col("entity_name")).alias("entity_type"),
+        F.concat(F.lit("named in line "), F.col("node_id").cast("string")).alias("description"),
+    )
+
+
+def relations_from_documents(documents: DataFrame) -> DataFrame:
+    """Consecutive names of a line as raw relations; every fourth target is misspelt by a plural."""
+    pairs = F.expr(
+        "transform(sequence(0, greatest(size(names) - 2, 0)), i -> named_struct('src', get(names, i), 'tgt', get(names, i + 1)))"
+    )
+    rows = _named_lines(documents).select("doc_id", "node_id", F.posexplode(pairs).alias("seq", "pair")).filter("pair.tgt IS NOT NULL")
+    return rows.select(
+        "doc_id", "node_id", "seq", F.col("pair.src").alias("src_entity_name"),
+        F.when(F.col("seq") % 4 == 0, F.concat("pair.tgt", F.lit("s"))).otherwise(F.col("pair.tgt")).alias("tgt_entity_name"),
+        F.when(F.col("seq") % 2 == 0, "follows").otherwise("near").alias("relation_name"),
+        (1 + F.col("seq") % 9).cast("double").alias("weight"),
+        F.concat(F.lit("side by side in line "), F.col("node_id").cast("string")).alias("description"),
+    )
