@@ -19,7 +19,7 @@ mentions AS (
          'named in line ' || node_id AS description
   FROM (SELECT doc_id, node_id, unnest(names) AS name, CAST(generate_subscripts(names, 1) - 1 AS INTEGER) AS seq FROM names)),
 relations AS (
-  SELECT doc_id, node_id, i AS seq, lower(names[i + 1]) AS src_entity_name,
+  SELECT doc_id, node_id, CAST(i AS INTEGER) AS seq, lower(names[i + 1]) AS src_entity_name,
          lower(names[i + 2]) || CASE WHEN i % 4 = 0 THEN 's' ELSE '' END AS tgt_entity_name,
          CASE WHEN i % 2 = 0 THEN 'follows' ELSE 'near' END AS relation_name, CAST(1 + i % 9 AS DOUBLE) AS weight,
          'side by side in line ' || node_id AS description
@@ -111,7 +111,7 @@ def endpoint_repair(spark, sf):
 
 EDGES = f"""{MENTIONS},
 named AS (
-  SELECT doc_id, node_id * 100000 + seq AS seq, src_entity_name AS src, tgt_entity_name AS tgt, weight, relation_name FROM relations),
+  SELECT doc_id, CAST(node_id AS BIGINT) * 100000 + seq AS seq, src_entity_name AS src, tgt_entity_name AS tgt, weight, relation_name FROM relations),
 edges AS (
   SELECT doc_id, least(src, tgt) AS src, greatest(src, tgt) AS tgt, arg_max(weight, seq) AS weight, arg_max(relation_name, seq) AS relation_name
   FROM named WHERE src <> tgt GROUP BY ALL)"""

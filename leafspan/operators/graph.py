@@ -14,7 +14,6 @@ from leafspan.session import cut_lineage
 # Convergence rule of the rank iteration.
 TOLERANCE = 1e-6
 MAX_ITERATIONS = 100
-ITERATIONS_PER_JOB = 5
 EDGES_PER_SALT = 1_000_000
 
 
@@ -135,8 +134,8 @@ def pagerank(
     below ``tolerance`` times its node count, independently of the others. Rank of nodes without edges flows back to
     the start weights.
 
-    Each iteration is two aggregations that combine before the shuffle. The out-edges of a hub are split over salts
-    in proportion to its degree, and several iterations run per job before the state is checkpointed.
+    Each iteration is two aggregations that combine before the shuffle, and its result is checkpointed. The out-edges
+    of a hub are split over salts in proportion to its degree.
     """
     both = edges.select("doc_id", F.col("src").alias("u"), F.col("tgt").alias("v"), "weight").unionByName(
         edges.select("doc_id", F.col("tgt").alias("u"), F.col("src").alias("v"), "weight")
@@ -150,7 +149,7 @@ def pagerank(
         .join(out.select("doc_id", F.col("u").alias("node_name"), "salts"), ["doc_id", "node_name"], "left")
         .select(
             "doc_id", "node_name", (F.col("weight") / F.col("total")).alias("start"), "n", "salts",
-            (1 / F.col("n")).alias("rank"), F.lit(False).alias("done"),
+            (1 / F.col("n")).alias("rank"), F.lit(None).cast("double").alias("before"), F.lit(False).alias("done"),
         )
     )
     shares = cut_lineage(
@@ -161,22 +160,15 @@ def pagerank(
         )
     )
     state = cut_lineage(state)
-    for first in range(0, max_iterations, ITERATIONS_PER_JOB):
-        held = []
-        for _ in range(min(ITERATIONS_PER_JOB, max_iterations - first)):
-            # Each step reads the state several times; keeping it avoids evaluating the chain once per reading.
-            moved = _advance(state, shares, alpha).persist()
-            state = _settle(state, moved, tolerance).persist()
-            held += [moved, state]
-        state = cut_lineage(state)
-        for frame in held:
-            frame.unpersist()
+    for _ in range(max_iterations + 1):
+        state = cut_lineage(_rank_step(state, shares, alpha, tolerance))
         if state.filter(~F.col("done")).isEmpty():
             return state.select("doc_id", "node_name", "rank")
     raise RuntimeError(f"rank iteration did not converge within {max_iterations} iterations")
 
 
-def _advance(state: DataFrame, shares: DataFrame, alpha: float) -> DataFrame:
+def _rank_step(state: DataFrame, shares: DataFrame, alpha: float, tolerance: float) -> DataFrame:
+    """One iteration; a document whose last change was small enough keeps its ranks and is done."""
     active = state.filter(~F.col("done"))
     spread = active.filter(F.col("salts").isNotNull()).select(
         "doc_id", F.col("node_name").alias("u"), "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
@@ -185,21 +177,17 @@ def _advance(state: DataFrame, shares: DataFrame, alpha: float) -> DataFrame:
         shares.join(spread, ["doc_id", "u", "salt"])
         .groupBy("doc_id", F.col("v").alias("node_name")).agg(F.sum(F.col("rank") * F.col("share")).alias("received"))
     )
-    dangling = active.groupBy("doc_id").agg(F.sum(F.when(F.col("salts").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"))
-    inflow = F.coalesce("received", F.lit(0.0)) + F.col("dangling") * F.col("start")
-    return (
-        active.join(received, ["doc_id", "node_name"], "left").join(dangling, "doc_id")
-        .withColumn("next", alpha * inflow + (1 - alpha) * F.col("start"))
+    per_document = active.groupBy("doc_id").agg(
+        F.sum(F.when(F.col("salts").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"),
+        F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))) < F.max("n") * tolerance, F.lit(False)).alias("settled"),
     )
-
-
-def _settle(state: DataFrame, moved: DataFrame, tolerance: float) -> DataFrame:
-    change = moved.groupBy("doc_id").agg(F.sum(F.abs(F.col("next") - F.col("rank"))).alias("change"))
-    settled = moved.join(change, "doc_id").select(
-        "doc_id", "node_name", "start", "n", "salts", F.col("next").alias("rank"),
-        (F.col("change") < F.col("n") * tolerance).alias("done"),
+    inflow = F.coalesce("received", F.lit(0.0)) + F.col("dangling") * F.col("start")
+    moved = active.join(per_document, "doc_id").join(received, ["doc_id", "node_name"], "left").select(
+        "doc_id", "node_name", "start", "n", "salts",
+        F.when(F.col("settled"), F.col("rank")).otherwise(alpha * inflow + (1 - alpha) * F.col("start")).alias("rank"),
+        F.col("rank").alias("before"), F.col("settled").alias("done"),
     )
-    return state.filter("done").unionByName(settled)
+    return state.filter("done").unionByName(moved)
 
 
 def node_scores(ranks: DataFrame, bridge: DataFrame, targets: DataFrame | None = None) -> DataFrame:
