@@ -1 +1,8 @@
 """Document analytics and retrieval on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions shipped to Python workers travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
