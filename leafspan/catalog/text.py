@@ -93,7 +93,7 @@ def chunk_pack(spark, sf):
 
 @query(
     "pack_groups",
-    f"""{CHUNKS.replace("n > 60", "FALSE").replace("n <= 60", "TRUE")} SELECT doc_id, CAST(place - 1 AS INTEGER) AS sentence_id, n AS size, CAST(chunk - 1 AS INTEGER) AS batch FROM packed""",
+    f"""{CHUNKS.replace("WHERE n > 60", "WHERE FALSE").replace("WHERE n <= 60", "WHERE TRUE")} SELECT doc_id, CAST(place - 1 AS INTEGER) AS sentence_id, n AS size, CAST(chunk - 1 AS INTEGER) AS batch FROM packed""",
 )
 def pack_groups(spark, sf):
     parts = F.split(F.regexp_replace(T.strip(F.col("text")), f"([.!?]){T.WHITESPACE}+", "$1\u0001"), "\u0001")
