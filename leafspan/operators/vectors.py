@@ -52,27 +52,36 @@ def _angles_to_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 def _compare(
     queries: DataFrame, base: DataFrame, k: int, id_type: str, query_type: str, minimum: float | None
 ) -> DataFrame:
-    """Best ``k`` of each base block for the queries routed to the same ``(scope, cell, block, part)``."""
+    """Best ``k`` of each base block for the queries routed to it.
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vector_key": [], "similarity": []})
+    A task takes the rows of one ``(bundle, cell, block, part)``; a bundle holds many small scopes, or the blocks of a
+    large one next to a few small ones, and is compared scope by scope.
+    """
+
+    def best_of_scope(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, SIMILARITY_DIGITS)
         keys = right["vector_key"].to_numpy()
         order = np.argsort(keys, kind="stable")
         scores, keys = scores[:, order], keys[order]
         kept = min(k, scores.shape[1])
         picks = np.argsort(-scores, axis=1, kind="stable")[:, :kept]
-        frame = pd.DataFrame(
+        return pd.DataFrame(
             {
                 "query_id": np.repeat(left["query_id"].to_numpy(), kept),
                 "vector_key": keys[picks].ravel(),
                 "similarity": np.take_along_axis(scores, picks, axis=1).ravel(),
             }
         )
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        base = dict(list(right.groupby("scope", sort=False)))
+        found = [best_of_scope(rows, base[scope]) for scope, rows in left.groupby("scope", sort=False) if scope in base]
+        if not found:
+            return pd.DataFrame({"query_id": [], "vector_key": [], "similarity": []})
+        frame = pd.concat(found)
         return frame if minimum is None else frame[frame["similarity"] >= minimum]
 
-    address = ["scope", "cell", "block", "part"]
+    address = ["bundle", "cell", "block", "part"]
     return (
         queries.groupBy(*address)
         .cogroup(base.groupBy(*address))
@@ -122,9 +131,12 @@ def nearest(
         .persist()
     )
     distinct = copies.filter(F.col("nth") == 1).select("scope", "vector_key", "vector")
-    # A few blocks per cell; a base that fits one block is compared in one visit.
-    wanted = min(pivot_count, -(-distinct.count() * 4 // block_rows)) if pivot_count > 1 else 1
-    pivots = _choose_pivots(distinct, max(1, wanted if wanted > 4 else 1))
+    # Pivots pay off once a scope holds several blocks; smaller scopes are compared in one visit.
+    sizes = distinct.groupBy("scope").agg(F.count("*").alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    wanted = -(-(largest or 0) * 4 // block_rows)
+    pivots = _choose_pivots(distinct, min(pivot_count, wanted) if wanted > 4 else 1)
+    bundle = F.pmod(F.xxhash64("scope"), F.lit(max(1, 4 * (total or 0) // block_rows))).cast("int")
     if not len(pivots):
         return spark.createDataFrame([], f"{query_id} {query_type}, rank int, {vector_id} {id_type}, similarity double")
 
@@ -160,8 +172,8 @@ def nearest(
             "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         )
         return _compare(
-            left.select("query_id", "vector", "scope", "cell", "block", "part"),
-            right.select("vector_key", "vector", "scope", "cell", "block", "part"),
+            left.select("query_id", "vector", "scope", bundle.alias("bundle"), "cell", "block", "part"),
+            right.select("vector_key", "vector", "scope", bundle.alias("bundle"), "cell", "block", "part"),
             k + spare, id_type, query_type, min_similarity,
         )
 
