@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafspan.functions.scoring import NOT_ANSWERABLE, containment, token_f1
+from leafspan.functions.lists import list_exact, list_f1
+from leafspan.functions.scoring import NOT_ANSWERABLE, containment, token_f1, typed_score
 
 
 def accuracy_and_f1(samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -45,3 +46,21 @@ def best_over_references(results: DataFrame, key: str, predicted: str, reference
         )
         .groupBy(key).agg(F.max("__f1").alias("f1"), F.max("__accuracy").alias("accuracy"))
     )
+
+
+def score_answers(results: DataFrame, dataset: str) -> DataFrame:
+    """Score ``results`` by the rules of a dataset kind.
+
+    ``typed``: ``answer, pred, answer_format`` give ``score`` and ``f1_token``. ``lists``: arrays ``answers`` and
+    ``pred_list`` give ``em`` and ``f1``. ``references``: ``key, pred, references`` give ``accuracy`` and ``f1``.
+    """
+    if dataset == "typed":
+        pair = F.col("answer"), F.col("pred")
+        return results.withColumns({
+            "score": typed_score(*pair, F.col("answer_format")), "f1_token": token_f1(F.col("pred"), F.col("answer"))
+        })
+    if dataset == "lists":
+        return results.withColumns({"em": list_exact(F.col("pred_list"), F.col("answers")), "f1": list_f1("pred_list", "answers")})
+    if dataset == "references":
+        return best_over_references(results, "key", "pred", "references")
+    raise ValueError(f"unknown dataset kind {dataset}")
