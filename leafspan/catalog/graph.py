@@ -3,6 +3,7 @@
 from leafspan.catalog.base import query, table
 from leafspan.catalog.tree import TREE, nodes_of
 from leafspan.operators import graph
+from leafspan.operators.ranking import top_k
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -102,27 +103,24 @@ def order_bridge(spark, sf):
     f"""WITH {RANKS}, {BRIDGE},
 targets AS (SELECT f.doc_id, o_orderkey AS index_id FROM orders, (SELECT DISTINCT doc_id FROM edges) f),
 sums AS (SELECT b.doc_id, b.index_id, sum(r.rank) AS score FROM bridge b JOIN ranks r ON r.doc_id = b.doc_id AND r.node_name = b.node_name GROUP BY ALL)
-SELECT t.doc_id, t.index_id, round(round(coalesce(s.score, 0), 12), 9) AS score FROM targets t
+SELECT t.doc_id, t.index_id, round(coalesce(s.score, 0), 12) AS score FROM targets t
 LEFT JOIN sums s ON s.doc_id = t.doc_id AND s.index_id = t.index_id""",
 )
 def ppr_node_scores(spark, sf):
     flags = table(spark, sf, "lineitem").agg(F.collect_set("l_returnflag")).scalar()
     targets = table(spark, sf, "orders").select(F.explode(flags).alias("doc_id"), F.col("o_orderkey").alias("index_id"))
-    return graph.node_scores(ranks_of(spark, sf), order_bridge(spark, sf), targets).withColumn("score", F.round("score", 9))
+    return graph.node_scores(ranks_of(spark, sf), order_bridge(spark, sf), targets)
 
 
 @query(
     "ppr_top_nodes",
     f"""WITH {RANKS}, {BRIDGE},
 sums AS (SELECT b.doc_id, b.index_id, round(sum(r.rank), 12) AS score FROM bridge b JOIN ranks r ON r.doc_id = b.doc_id AND r.node_name = b.node_name GROUP BY ALL)
-SELECT doc_id, index_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10) DESC, index_id) AS rank FROM sums) WHERE rank <= 7""",
+SELECT doc_id, index_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, index_id) AS rank FROM sums) WHERE rank <= 7""",
 )
 def ppr_top_nodes(spark, sf):
-    from leafspan.operators.ranking import top_k
-
-    scored = graph.node_scores(ranks_of(spark, sf), order_bridge(spark, sf)).withColumn("order", F.round("score", 10))
-    return top_k(scored, ["doc_id"], "order", "index_id", 7).withColumn("score", F.round("score", 9)).drop("order")
+    return top_k(graph.node_scores(ranks_of(spark, sf), order_bridge(spark, sf)), ["doc_id"], "score", "index_id", 7)
 
 
 SIMILAR = """
@@ -147,16 +145,16 @@ def similar_inputs(spark, sf):
     return nodes, edges
 
 
-@query("edge_similarity", f"WITH {SIMILAR} SELECT doc_id, src, tgt, round(similarity, 6) AS similarity FROM edge_similarity")
+@query("edge_similarity", f"WITH {SIMILAR} SELECT doc_id, src, tgt, round(similarity, 9) AS similarity FROM edge_similarity")
 def edge_similarity(spark, sf):
     nodes, edges = similar_inputs(spark, sf)
-    return graph.edge_similarities(edges, nodes).select("doc_id", "src", "tgt", F.round("similarity", 6).alias("similarity"))
+    return graph.edge_similarities(edges, nodes).select("doc_id", "src", "tgt", F.round("similarity", 9).alias("similarity"))
 
 
-@query("edge_percentile", f"WITH {SIMILAR} SELECT doc_id, round(threshold, 6) AS threshold FROM limits")
+@query("edge_percentile", f"WITH {SIMILAR} SELECT doc_id, round(threshold, 9) AS threshold FROM limits")
 def edge_percentile(spark, sf):
     nodes, edges = similar_inputs(spark, sf)
-    return graph.similarity_threshold(graph.edge_similarities(edges, nodes), nodes).withColumn("threshold", F.round("threshold", 6))
+    return graph.similarity_threshold(graph.edge_similarities(edges, nodes), nodes).withColumn("threshold", F.round("threshold", 9))
 
 
 @query("degree_cap", f"WITH {SIMILAR} SELECT doc_id, cap FROM caps")
@@ -174,11 +172,11 @@ fresh AS (
 ranked AS (
   SELECT f.*, cap, row_number() OVER (PARTITION BY f.doc_id, node_name ORDER BY similarity DESC, partner) AS nth
   FROM fresh f JOIN limits l ON l.doc_id = f.doc_id JOIN caps c ON c.doc_id = f.doc_id WHERE similarity > threshold)
-SELECT DISTINCT doc_id, least(node_name, partner) AS src, greatest(node_name, partner) AS tgt, round(similarity, 6) AS weight FROM ranked WHERE nth <= cap""",
+SELECT DISTINCT doc_id, least(node_name, partner) AS src, greatest(node_name, partner) AS tgt, round(similarity, 9) AS weight FROM ranked WHERE nth <= cap""",
 )
 def semantic_edges(spark, sf):
     nodes, edges = similar_inputs(spark, sf)
-    return graph.semantic_edges(nodes, edges).withColumn("weight", F.round("weight", 6))
+    return graph.semantic_edges(nodes, edges).withColumn("weight", F.round("weight", 9))
 
 
 NODE_BRIDGE = f"""{TREE},
@@ -219,7 +217,7 @@ def section_split(spark, sf):
     "start_weights",
     f"""WITH {RANK_GRAPH},
 mapped AS (SELECT l_returnflag AS doc_id, 'S' || l_suppkey AS node_name, sum((l_discount * 10 - 0.5 + 1) / 2) AS weight FROM lineitem GROUP BY ALL)
-SELECT a.doc_id, a.node_name, round(coalesce(m.weight, 0), 6) AS weight FROM all_nodes a LEFT JOIN mapped m ON m.doc_id = a.doc_id AND m.node_name = a.node_name""",
+SELECT a.doc_id, a.node_name, round(coalesce(m.weight, 0), 9) AS weight FROM all_nodes a LEFT JOIN mapped m ON m.doc_id = a.doc_id AND m.node_name = a.node_name""",
 )
 def start_weights(spark, sf):
     nodes, _ = rank_inputs(spark, sf)
@@ -227,4 +225,4 @@ def start_weights(spark, sf):
         F.col("l_returnflag").alias("doc_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("node_name"),
         (F.col("l_discount") * 10 - 0.5).alias("similarity"),
     )
-    return graph.start_weights(nodes, mapped).withColumn("weight", F.round("weight", 6))
+    return graph.start_weights(nodes, mapped).withColumn("weight", F.round("weight", 9))

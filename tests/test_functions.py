@@ -148,3 +148,27 @@ def test_root_paths_with_cycle_and_orphan(spark):
     df = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 3), (5, None), (6, 7), (7, 6), (8, 99)], "id long, parent long")
     got = {r.id: (r.path, r.orphan) for r in tree.root_paths(df, [], "id", "parent").collect()}
     assert got[4] == ([1, 2, 3, 4], False) and got[5] == ([5], True) and got[6] == ([7, 6], True) and got[8][1]
+
+
+def test_chat_memory(spark):
+    from leafspan.functions import records
+
+    told = "array(named_struct('role','u','content','hi'), named_struct('role','a','content','the answer'))"
+    df = spark.sql(f"SELECT {told} AS m, named_struct('role','u','content','hi') AS old, named_struct('role','u','content','new') AS fresh")
+    row = df.select(
+        F.size(records.remember(F.col("m"), F.col("old"))).alias("same"), F.size(records.remember(F.col("m"), F.col("fresh"))).alias("more"),
+        records.recall(F.col("m"), F.lit("the")).alias("hits"), records.recent(F.col("m"), 1).alias("last"),
+        F.size(records.unseen(F.col("m"), F.array("old", "fresh"))).alias("news"),
+        F.size(records.unseen(F.col("m"), F.array("old", "fresh"), 1)).alias("news_of_last"),
+    ).first()
+    assert (row.same, row.more, row.news, row.news_of_last) == (2, 3, 1, 2)
+    assert [m.content for m in row.hits] == ["the answer"] == [m.content for m in row["last"]]
+
+
+def test_records(spark):
+    from leafspan.functions import records
+
+    reply = '("entity"<|>Spark &amp; Co<|>Org<|>An engine)##junk##("relationship"<|>a<|>b<|>uses<|>7)##("relationship"<|>a<|>c<|>uses<|>much)##("entity"<|>!!<|>T<|>d)<|COMPLETE|>'
+    rows = records.parse_records(spark.createDataFrame([(1, reply)], "n int, r string"), "r").cache()
+    assert [(r.entity_name, r.entity_type, r.description) for r in records.record_entities(rows).collect()] == [("spark   co", "org", "an engine")]
+    assert [(r.src_entity_name, r.tgt_entity_name, r.weight) for r in records.record_relations(rows).orderBy("seq").collect()] == [("a", "b", 7.0), ("a", "c", 1.0)]
