@@ -148,7 +148,6 @@ def typed_score(spark, sf):
 )
 def clean_answer(spark, sf):
     part = table(spark, sf, "part")
-    raw = F.concat(F.lit(" $ '"), F.upper("p_name"), F.lit(" (of "), F.col("p_brand"), F.lit(")'% "))
     decorated = F.concat(F.lit("$"), F.upper("p_name"), F.lit(" (of "), F.col("p_brand"), F.lit(") %"))
     code = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_partkey").cast("string"), F.lit("-"), F.col("p_size").cast("string")))
     return part.select(
@@ -246,7 +245,7 @@ def list_answers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", list_exact(ours, gold).alias("exact"), list_f1(ours, gold).alias("f1"))
 
 
-def part_table(part):
+def part_table():
     text = lambda c: c.cast("string")
     cell = lambda c, attrs="", tag="td": F.concat(F.lit(f"<{tag}{attrs}>"), c, F.lit(f"</{tag}>"))
     rows = [
@@ -258,7 +257,7 @@ def part_table(part):
 
 
 def grids(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", tables.grid(part_table(None)).alias("grid"))
+    return table(spark, sf, "part").select("p_partkey", tables.grid(part_table()).alias("grid"))
 
 
 @query(
@@ -280,7 +279,7 @@ def table_grid(spark, sf):
 def table_headers(spark, sf):
     n = tables.header_rows(F.col("grid"))
     count = tables.column_count(F.col("html"))
-    made = table(spark, sf, "part").select("p_partkey", part_table(None).alias("html"))
+    made = table(spark, sf, "part").select("p_partkey", part_table().alias("html"))
     return made.withColumn("grid", tables.grid("html")).select(
         "p_partkey", n.alias("n_rows"), F.array_join(tables.headers(F.col("grid"), n), "; ").alias("headers"), count.alias("n_columns")
     )
@@ -297,7 +296,7 @@ BODY = """p_name || ' | ' || p_name || ' | ' || p_brand || chr(10) || p_type ||
   || 'Table Body:' || chr(10) || {BODY} AS text FROM part""",
 )
 def table_text(spark, sf):
-    made = table(spark, sf, "part").select("p_partkey", "p_brand", tables.grid(part_table(None)).alias("grid"))
+    made = table(spark, sf, "part").select("p_partkey", "p_brand", tables.grid(part_table()).alias("grid"))
     return made.select("p_partkey", tables.table_text(F.col("p_brand"), F.col("grid"), F.lit("")).alias("text"))
 
 
