@@ -4,7 +4,7 @@ from importlib import import_module
 
 from leafspan.llm.common import ORACLES, QUERIES
 
-MODULES = ["packing", "decontamination", "fertility"]
+MODULES = ["packing", "decontamination", "fertility", "substrings"]
 
 
 def _load() -> None:

@@ -134,3 +134,73 @@ def worker_state(name: str, build: Callable):
     if not hasattr(held, name):
         setattr(held, name, build())
     return getattr(held, name)
+
+
+def pack_ints(values: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest of 1, 2, 4 or 8 bytes each, after a byte that says how many."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+class Places:
+    """(key, position) pairs as a compact row: a base key, the distinct keys above it, a count for each, and the positions."""
+
+    FIELDS = "base long, keys binary, counts binary, at binary"
+
+    @staticmethod
+    def pack(keys: np.ndarray, at: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
+        """Pairs of equal keys must be next to each other."""
+        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        base = int(keys.min())
+        counts = np.diff(np.append(cuts, len(keys)))
+        return base, pack_ints(keys[cuts] - base), pack_ints(counts), pack_ints(at)
+
+    @staticmethod
+    def unpack(base: int, keys: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(unpack_ints(keys) + base, unpack_ints(counts)), unpack_ints(at)
+
+    @staticmethod
+    def unpack_all(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rows = zip(*(part.column(c).to_pylist() for c in ("base", "keys", "counts", "at")))
+        pairs = [Places.unpack(*row) for row in rows]
+        if not pairs:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+
+
+def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers of each bucket, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    ordered = bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    for start, end in zip(cuts, np.append(cuts[1:], len(ordered))):
+        yield int(ordered[start]), order[start:end]
+
+
+def bucket_count(rows: DataFrame, bytes_each: int = 8_000_000, least: int = 64) -> int:
+    """Buckets that each take about ``bytes_each`` bytes of text."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-total // bytes_each))
+
+
+def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def later_copies(hashes: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the (key, position) places have a place with the same hash before them."""
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    several = np.zeros(len(hashes), bool)
+    several[order[1:][same]] = True
+    several[order[:-1][same]] = True
+    some = np.flatnonzero(several)
+    some = some[np.lexsort((at[some], keys[some], hashes[some]))]
+    later = np.zeros(len(hashes), bool)
+    later[some[1:][hashes[some][1:] == hashes[some][:-1]]] = True
+    return later
