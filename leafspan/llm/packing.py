@@ -24,6 +24,8 @@ from leafspan.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
+# Bytes of text encoded at once: larger slices hold fewer distinct words in all.
+SLICE = 6_000_000
 
 
 class CapacityTree:
@@ -114,7 +116,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_state(f"word_bpe {vocabulary}", lambda: WordBpe(vocabulary))
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             coded = [ids + end for ids in bpe.encode(as_bytes(batch))]
             places, pieces, starts, lengths, sums, ranks, ids = [], [], [], [], [], [], []
             for i, data in enumerate(coded):
