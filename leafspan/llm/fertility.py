@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leafspan.llm.common import as_bytes, flat_words, mix, query, slices, table, window_hashes, worker_state
 from leafspan.llm.packing import public_vocabulary
 from leafspan.llm.tokens import Pieces
+from leafspan.operators.skew import salted_join
 from leafspan.session import cut_lineage
 
 # A document fails where a measure lies further from its group's median than so many times the 5 to 95 % range.
@@ -124,7 +125,8 @@ def judge(docs: DataFrame, vocabulary: str, width: float = WIDTH, **columns) ->
     """
     measured = measures(docs, vocabulary, **columns)
     measured = cut_lineage(measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    joined = measured.join(bands(measured, width), "band_group", "left")
+    # A language may hold most documents, so each group is spread over several tasks.
+    joined = salted_join(measured, bands(measured, width), ["band_group"], ["doc_id", "n_tokens", "entropy"], "left", salts=64)
     reasons = F.array_compact(F.array(
         F.when(F.col("base_failed"), F.lit("base")),
         *[F.when(~F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(m)) for m in MEASURES],
