@@ -4,7 +4,7 @@ from importlib import import_module
 
 from leafspan.llm.common import ORACLES, QUERIES
 
-MODULES = ["packing", "decontamination", "fertility", "substrings", "suffixes"]
+MODULES = ["packing", "decontamination", "fertility", "substrings", "suffixes", "sharding", "language"]
 
 
 def _load() -> None:
