@@ -192,15 +192,16 @@ def key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def later_copies(hashes: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the (key, position) places have a place with the same hash before them."""
+def later_copies(hashes: np.ndarray, keys: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+    """Which of the (key, position) places have a place with the same hash (and the same ``more``) before them."""
+    more = np.zeros(len(hashes), np.uint8) if more is None else more
     order = np.argsort(hashes)
     same = hashes[order][1:] == hashes[order][:-1]
     several = np.zeros(len(hashes), bool)
     several[order[1:][same]] = True
     several[order[:-1][same]] = True
     some = np.flatnonzero(several)
-    some = some[np.lexsort((at[some], keys[some], hashes[some]))]
+    some = some[np.lexsort((at[some], keys[some], more[some], hashes[some]))]
     later = np.zeros(len(hashes), bool)
-    later[some[1:][hashes[some][1:] == hashes[some][:-1]]] = True
+    later[some[1:][(hashes[some][1:] == hashes[some][:-1]) & (more[some][1:] == more[some][:-1])]] = True
     return later

@@ -32,15 +32,15 @@ SLICE = 1_000_000
 FLUSH_ZONES = 400_000
 FLUSH_WINDOWS = 1_000_000
 # Different zones of one anchor that a flush sends to the anchor's bucket. Beyond it the anchor is known to occur in different
-# zones: two of them go there as witnesses, and all of them are compared window by window, which is spread by window.
-ZONES_PER_ANCHOR = 8
+# zones: a mark goes there, and all of them are compared window by window, which is spread by window.
+ZONES_PER_ANCHOR = 64
 
 SUFFIXES, FLAGGED, DOUBTFUL = 0, 1, 2
-NAMES = ["kind", "bucket", "base", "keys", "at", "n", "head", "gram", "zone"]
+NAMES = ["kind", "bucket", "base", "keys", "at", "n", "anchor", "head", "sides", "gram", "zone"]
 SCHEMA = pa.schema([
     ("kind", pa.int32()), ("bucket", pa.int64()), ("base", pa.int64()), *[(n, pa.binary()) for n in NAMES[3:]],
 ])
-ROWS = "kind int, bucket long, base long, keys binary, at binary, n binary, head binary, gram binary, zone binary"
+ROWS = "kind int, bucket long, base long, keys binary, at binary, n binary, anchor binary, head binary, sides binary, gram binary, zone binary"
 
 
 class Powers:
@@ -84,7 +84,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def zones_of(texts: list[bytes], match: int) -> dict[str, np.ndarray] | None:
-    """Zones of a list of texts: whether windows of the zone may be equal, document number, first window, number of windows, first bytes, gram hash and zone hash."""
+    """Zones of a list of texts: whether windows of the zone may be equal, document number, first window, number of windows,
+    and of the anchor its place, first bytes, hashes of the sides and of the gram, and the hash of the whole zone."""
     gram = max(1, match // 3)
     width = match - gram + 1
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -127,22 +128,40 @@ def zones_of(texts: list[bytes], match: int) -> dict[str, np.ndarray] | None:
     for step in range(4):
         head = (head << np.uint32(8)) | padded[anchor + step]
     document = np.searchsorted(offsets, start, side="right") - 1
+    # Half of what a window has besides the gram: at least so many bytes of it lie on one side of the gram.
+    beside = (match - gram + 1) // 2
+    low, high = anchor - beside, anchor + gram + beside
+    sides = np.zeros(len(start), np.uint32)
+    for inside, begin, end_, shift in (
+        (low >= offsets[document], low, anchor, 16), (high <= (offsets + lengths)[document], anchor + gram, high, 0),
+    ):
+        # Zero stands for a side that the text is too short for.
+        short = powers.between(prefixes, begin[inside], end_[inside]) >> np.uint64(48)
+        sides[inside] |= np.maximum(short, np.uint64(1)).astype(np.uint32) << np.uint32(shift)
     zone = mix(powers.between(prefixes, start, end - 1 + match) + (end - start).astype(np.uint64))
     periodic = (found > 1) | (anchor < last)
-    return {"periodic": periodic, "document": document, "at": start - offsets[document], "n": end - start, "head": head, "gram": hashes, "zone": zone}
+    return {"periodic": periodic, "document": document, "at": start - offsets[document], "n": end - start, "anchor": anchor - start, "head": head, "sides": sides, "gram": hashes, "zone": zone}
 
 
 class Suffixes:
     """A part of a suffix array: places with their anchor's first bytes, gram and zone, as numpy columns."""
 
-    def __init__(self, key, at, n, head, gram, zone):
-        self.key, self.at, self.n, self.head, self.gram, self.zone = key, at, n, head, gram, zone
+    COLUMNS = ("key", "at", "n", "anchor", "head", "sides", "gram", "zone")
+
+    def __init__(self, key, at, n, anchor, head, sides, gram, zone):
+        self.key, self.at, self.n, self.anchor = key, at, n, anchor
+        self.head, self.sides, self.gram, self.zone = head, sides, gram, zone
+
+    @staticmethod
+    def bare(key, at, n) -> Suffixes:
+        empty = np.zeros(len(key), np.uint32)
+        return Suffixes(key, at, n, empty, empty, empty, empty, empty)
 
     def __len__(self) -> int:
         return len(self.key)
 
     def take(self, rows) -> Suffixes:
-        return Suffixes(*(c[rows] for c in (self.key, self.at, self.n, self.head, self.gram, self.zone)))
+        return Suffixes(*(getattr(self, c)[rows] for c in self.COLUMNS))
 
     def sorted(self) -> Suffixes:
         """In the order of suffix and then of place."""
@@ -153,7 +172,8 @@ class Suffixes:
         bare = kind != SUFFIXES
         return (
             kind, bucket, base, pack_ints(self.key - base), pack_ints(self.at), pack_ints(self.n),
-            None if bare else self.head.tobytes(), None if bare else self.gram.tobytes(), None if bare else self.zone.tobytes(),
+            None if bare else pack_ints(self.anchor),
+            *(None if bare else getattr(self, c).tobytes() for c in ("head", "sides", "gram", "zone")),
         )
 
     def rows(self, kind: int, bucket: np.ndarray) -> list[tuple]:
@@ -161,21 +181,22 @@ class Suffixes:
 
     @staticmethod
     def together(parts: list[Suffixes]) -> Suffixes:
-        return Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("key", "at", "n", "head", "gram", "zone")))
+        return Suffixes(*(np.concatenate([getattr(p, c) for p in parts]) for c in Suffixes.COLUMNS))
 
     @staticmethod
     def of(part: pa.Table) -> Suffixes:
         """Every place of the rows of a table; bare rows get zeros for what they lack."""
         columns = {c: part.column(c).to_pylist() for c in NAMES[2:]}
         if not part.num_rows:
-            return Suffixes(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint32, np.uint64, np.uint64)))
+            return Suffixes(*(np.zeros(0, t) for t in 4 * [np.int64] + 2 * [np.uint32] + 2 * [np.uint64]))
         at = [unpack_ints(x) for x in columns["at"]]
         raw = [
             np.concatenate([np.frombuffer(x, t) if x is not None else np.zeros(len(a), t) for x, a in zip(columns[c], at)])
-            for c, t in (("head", np.uint32), ("gram", np.uint64), ("zone", np.uint64))
+            for c, t in (("head", np.uint32), ("sides", np.uint32), ("gram", np.uint64), ("zone", np.uint64))
         ]
+        anchor = np.concatenate([unpack_ints(x) if x is not None else np.zeros(len(a), np.int64) for x, a in zip(columns["anchor"], at)])
         keys = np.concatenate([unpack_ints(x) + b for x, b in zip(columns["keys"], columns["base"])])
-        return Suffixes(keys, np.concatenate(at), np.concatenate([unpack_ints(x) for x in columns["n"]]), *raw)
+        return Suffixes(keys, np.concatenate(at), np.concatenate([unpack_ints(x) for x in columns["n"]]), anchor, *raw)
 
     def repeats(self) -> np.ndarray:
         """In sorted order: whether the suffix before has the same zone."""
@@ -205,7 +226,10 @@ def _suffix_arrays(rows: DataFrame, match: int, buckets: int) -> DataFrame:
         crowded = size > ZONES_PER_ANCHOR
         if crowded.any():
             out += array.take(crowded).rows(DOUBTFUL, key_bucket(array.key[crowded], buckets))
-            array = array.take(~crowded | (before < 2))
+            # A mark without windows stands for the crowded anchor.
+            marks = array.take(crowded & (before < 1))
+            marks.n, marks.zone = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.uint64)
+            array = Suffixes.together([array.take(~crowded), marks]).sorted()
         return _batch_of(out + array.rows(SUFFIXES, (array.gram % np.uint64(buckets)).astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +253,41 @@ def _suffix_arrays(rows: DataFrame, match: int, buckets: int) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, ROWS)
 
 
-def _merge_scan(buckets: int, after: int):
+def _shared(array: Suffixes, value: np.ndarray) -> np.ndarray:
+    """Which suffixes have another of the same gram with the same value; zero is no value."""
+    order = np.lexsort((value, array.gram))
+    gram, value = array.gram[order], value[order]
+    same = (gram[1:] == gram[:-1]) & (value[1:] == value[:-1]) & (value[1:] > 0)
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
+def _doubtful(array: Suffixes, new: np.ndarray, match: int) -> Suffixes:
+    """Windows that may occur in another zone of their anchor, of anchors that the batch has.
+
+    A window has at least half of its other bytes on one side of the gram, so a zone that shares neither side with another one
+    has no such window, and one that shares only one side has them on that side. Anchors crowded in a task are compared whole.
+    """
+    size, before = _class_sizes(array.gram)
+    number = np.cumsum(before == 0) - 1
+    fresh = (size > 1) & (np.bincount(number, new)[number] > 0)
+    array, size = array.take(fresh), size[fresh]
+    if not len(array):
+        return array
+    gram = max(1, match // 3)
+    beside = (match - gram + 1) // 2
+    crowded = np.bincount(number[fresh], array.n == 0)[number[fresh]] > 0
+    left = _shared(array, array.sides >> np.uint32(16)) | crowded
+    right = _shared(array, array.sides & np.uint32(0xFFFF)) | crowded
+    first = np.where(left, 0, np.maximum(0, array.anchor + gram + beside - match))
+    last = np.where(right, array.n - 1, np.minimum(array.n - 1, array.anchor - beside))
+    keep = (left | right) & (first <= last) & (array.n > 0)
+    return Suffixes.bare((array.key)[keep], (array.at + first)[keep], (last - first + 1)[keep])
+
+
+def _merge_scan(buckets: int, after: int, match: int):
     """Scan a bucket of a batch (keys from ``after`` on) against the levels; what is new in it is its part of the new level."""
 
     def run(part: pa.Table) -> pa.Table:
@@ -240,15 +298,12 @@ def _merge_scan(buckets: int, after: int):
             return ready
         new = array.key >= after
         again = array.repeats()
-        found = again & new
+        found = again & new & (array.n > 0)
         out = array.take(found).rows(FLAGGED, key_bucket(array.key[found], buckets)) if found.any() else []
         array, new = array.take(~again), new[~again]
-        size, before = _class_sizes(array.gram)
-        number = np.cumsum(before == 0) - 1
-        fresh = np.bincount(number, new)[number] > 0
-        doubt = (size > 1) & fresh
-        if doubt.any():
-            out += array.take(doubt).rows(DOUBTFUL, key_bucket(array.key[doubt], buckets))
+        doubt = _doubtful(array, new, match)
+        if len(doubt):
+            out += doubt.rows(DOUBTFUL, key_bucket(doubt.key, buckets))
         if new.any():
             out.append(array.take(new).row(SUFFIXES, part.column("bucket")[0].as_py()))
         return pa.concat_tables([ready, pa.Table.from_batches([_batch_of(out)])])
@@ -279,7 +334,7 @@ class SuffixIndexes:
         together = _suffix_arrays(batch, self.match, self.buckets)
         for _, level in self.levels:
             together = together.unionByName(level)
-        scanned = cut_lineage(together.groupBy("bucket").applyInArrow(_merge_scan(self.buckets, after), ROWS))
+        scanned = cut_lineage(together.groupBy("bucket").applyInArrow(_merge_scan(self.buckets, after, self.match), ROWS))
         self.levels.append((1, scanned.where(F.col("kind") == SUFFIXES)))
         found = scanned.where(F.col("kind") != SUFFIXES)
         release(self.spark)
@@ -287,12 +342,15 @@ class SuffixIndexes:
 
 
 def _doubtful_places(part: pa.Table) -> pa.Table:
-    """Per document, the first window and number of windows of each doubtful zone, once."""
+    """Per document, the doubtful windows as disjoint runs, of a first window and a number of windows."""
     zones = Suffixes.of(part)
     order = np.lexsort((zones.at, zones.key))
-    key, at, n = zones.key[order], zones.at[order], zones.n[order]
-    once = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])])
-    key, at, n = key[once], at[once], n[once]
+    key, at, end = zones.key[order], zones.at[order], (zones.at + zones.n)[order]
+    owner = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 40
+    reach = np.maximum.accumulate(owner + end)
+    first = np.flatnonzero(np.concatenate([[True], (owner + at)[1:] > reach[:-1]]))
+    n = (reach - owner)[np.append(first[1:], len(key)) - 1] - at[first]
+    key, at = key[first], at[first]
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(cuts[1:], len(key))
     return pa.table({
@@ -319,22 +377,21 @@ def _runs(keys: np.ndarray, at: np.ndarray, buckets: int) -> list[tuple]:
     keys, at = keys[order], at[order]
     cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1] + 1)]))
     n = np.diff(np.append(cuts, len(keys)))
-    empty = np.zeros(len(cuts), np.uint64)
-    runs = Suffixes(keys[cuts], at[cuts], n, empty.astype(np.uint32), empty, empty)
+    runs = Suffixes.bare(keys[cuts], at[cuts], n)
     return runs.rows(FLAGGED, key_bucket(runs.key, buckets))
 
 
 def _window_blocks(joined: DataFrame, match: int, buckets: int) -> DataFrame:
-    """128-bit hashes of all windows of the doubtful zones, by bucket of the hash."""
+    """96-bit hashes of all windows of the doubtful zones, by bucket of the hash."""
 
     def flush(held) -> pa.RecordBatch:
         keys, at, one, two = (np.concatenate([h[i] for h in held]) for i in range(4))
-        later = later_copies(one ^ mix(two), keys, at)
+        later = later_copies(one, keys, at, two)
         out = []
         for row in _runs(keys[later], at[later], buckets) if later.any() else []:
             out.append((FLAGGED, row[1], row[2], row[3], row[5], row[4], None, None))
         keys, at, one, two = keys[~later], at[~later], one[~later], two[~later]
-        for number, own in by_bucket((two % np.uint64(buckets)).astype(np.int64)):
+        for number, own in by_bucket(two.astype(np.int64) % buckets):
             base, packed, counts, places = Places.pack(keys[own], at[own])
             out.append((DOUBTFUL, number, base, packed, counts, places, one[own].tobytes(), two[own].tobytes()))
         names = WINDOW_SCHEMA.names
@@ -354,6 +411,7 @@ def _window_blocks(joined: DataFrame, match: int, buckets: int) -> DataFrame:
             one = powers.between(prefixes, start, start + match)
             half = start + match // 2
             two = mix(powers.between(prefixes, start, half) * np.uint64(3) + powers.between(prefixes, half, start + match))
+            two = (two >> np.uint64(32)).astype(np.uint32)
             held.append((np.repeat(batch.column("key").to_numpy(), counts), at, one, two))
             waiting += len(at)
             if waiting >= FLUSH_WINDOWS:
@@ -370,13 +428,13 @@ def _resolve_windows(buckets: int):
         blocks = part.filter(pc.equal(part.column("kind"), DOUBTFUL))
         ready = part.filter(pc.equal(part.column("kind"), FLAGGED))
         out = [
-            (FLAGGED, r["bucket"], r["base"], r["keys"], r["at"], r["counts"], None, None, None)
+            (FLAGGED, r["bucket"], r["base"], r["keys"], r["at"], r["counts"], None, None, None, None, None)
             for r in ready.select(["bucket", "base", "keys", "at", "counts"]).to_pylist()
         ]
         if blocks.num_rows:
             keys, at = Places.unpack_all(blocks)
-            one, two = (np.frombuffer(b"".join(blocks.column(c).to_pylist()), "<u8") for c in ("one", "two"))
-            later = later_copies(one ^ mix(two.copy()), keys, at)
+            one, two = (np.frombuffer(b"".join(blocks.column(c).to_pylist()), t) for c, t in (("one", "<u8"), ("two", "<u4")))
+            later = later_copies(one, keys, at, two)
             if later.any():
                 out += _runs(keys[later], at[later], buckets)
         return pa.Table.from_batches([_batch_of(out)])
