@@ -329,14 +329,16 @@ class SuffixIndexes:
             (size, one), (_, other) = self.levels.pop(), self.levels.pop()
             merged_level = cut_lineage(one.unionByName(other).groupBy("bucket").applyInArrow(_merge_levels, ROWS))
             self.levels.append((2 * size, merged_level))
-            del one, other
+            del one, other, merged_level
             release(self.spark)
         together = _suffix_arrays(batch, self.match, self.buckets)
         for _, level in self.levels:
             together = together.unionByName(level)
         scanned = cut_lineage(together.groupBy("bucket").applyInArrow(_merge_scan(self.buckets, after, self.match), ROWS))
         self.levels.append((1, scanned.where(F.col("kind") == SUFFIXES)))
-        found = scanned.where(F.col("kind") != SUFFIXES)
+        # Kept apart, so that the batch's own copy goes when its level is merged.
+        found = cut_lineage(scanned.where(F.col("kind") != SUFFIXES))
+        del together
         release(self.spark)
         return found
 
