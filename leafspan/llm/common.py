@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.session import cut_lineage
+from leafspan.session import cut_lineage, ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +205,27 @@ def later_copies(hashes: np.ndarray, keys: np.ndarray, at: np.ndarray, more: np.
     later = np.zeros(len(hashes), bool)
     later[some[1:][(hashes[some][1:] == hashes[some][:-1]) & (more[some][1:] == more[some][:-1])]] = True
     return later
+
+
+class Workspace:
+    """Tables of one run of an iterative operator, in the folder that all executors share.
+
+    Unlike a checkpoint, a table that is read again carries no constraints of the plan that made it; these would grow with
+    every round until planning takes longer than the work.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.number = spark, 0
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/tables-{spark._jvm.java.util.UUID.randomUUID()}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Delete the run's tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

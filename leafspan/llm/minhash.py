@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafspan.llm.common import as_bytes, flat_words, keyed, mix, query, release, slices, table, window_hashes
-from leafspan.operators.entities import clusters
+from leafspan.llm.common import Workspace, as_bytes, flat_words, keyed, mix, query, release, slices, table, window_hashes
 from leafspan.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -171,17 +170,37 @@ def near_duplicate_classes(
     release(spark)
     sets = cut_lineage(_shingle_sets(rows.join(open_.select(F.col("rep").alias("key")).distinct(), "key"), size))
     release(spark)
-    links = _links(open_, sets, similarity)
-    member = clusters(links.select(F.lit(0).alias("doc_id"), "left", "right")).select(F.col("name").alias("rep"), F.col("root").alias("class_key"))
+    work = Workspace(spark)
+    links = _links(open_, sets, similarity, work)
+    member = components(links, work).withColumnRenamed("label", "class_key")
     classes = texts.select("a", "b", "rep").join(member, "rep", "left").select("a", "b", F.coalesce("class_key", "rep").alias("class_key"))
     by_key = cut_lineage(signed.select("key", "a", "b").join(classes, ["a", "b"]).select("key", "class_key"))
     del signed, texts, sets, links, member, classes, open_, entries, shared
+    work.close()
     release(spark)
     wanted = rows.select("key", "doc_id", *([F.col("text")] if text_col in also else []), *[c for c in also if c not in (id_col, text_col)])
     return wanted.join(by_key, "key")
 
 
-def _links(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def components(links: DataFrame, work: Workspace) -> DataFrame:
+    """``rep, label``: for every end of a link the least end of its component.
+
+    Each round takes the least label among a node's neighbours and then that label's own, so paths shorten quickly; both are
+    minimum aggregations and joins, and a round is one small plan on a written table.
+    """
+    both = work.keep(links.select("left", "right").unionByName(links.select(F.col("right").alias("left"), F.col("left").alias("right"))))
+    labels = work.keep(both.groupBy("left").agg(F.min("right").alias("m")).select(F.col("left").alias("rep"), F.least("left", "m").alias("label")))
+    while True:
+        heard = both.join(labels.select(F.col("rep").alias("right"), "label"), "right").groupBy("left").agg(F.min("label").alias("heard"))
+        near = labels.join(heard.withColumnRenamed("left", "rep"), "rep").select("rep", F.col("label").alias("was"), F.least("label", "heard").alias("via"))
+        jump = labels.select(F.col("rep").alias("via"), F.col("label").alias("top"))
+        following = work.keep(near.join(jump, "via").select("rep", F.least("via", "top").alias("label"), (F.least("via", "top") < F.col("was")).alias("moved")))
+        labels = following.select("rep", "label")
+        if following.where("moved").isEmpty():
+            return labels
+
+
+def _links(open_: DataFrame, sets: DataFrame, similarity: float, work: Workspace) -> DataFrame:
     """Verified links that connect what all candidate pairs of the buckets would connect."""
     spark = open_.sparkSession
     none = spark.createDataFrame([], "left long, right long")
@@ -190,14 +209,13 @@ def _links(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         if round_ == 0:
             labelled = open_.withColumn("label", F.col("rep"))
         else:
-            member = clusters(links.select(F.lit(0).alias("doc_id"), "left", "right")).select(F.col("name").alias("rep"), F.col("root").alias("label"))
-            labelled = open_.join(member, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            labelled = open_.join(components(links, work), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         # Buckets that still hold two components.
         split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-        labelled = cut_lineage(labelled.join(split, "band"))
+        labelled = work.keep(labelled.join(split, "band"))
         if labelled.isEmpty():
             return links
-        parts = 1 if round_ < 2 else 4 ** (round_ - 1)
+        parts = 4**round_
         # The first member of a bucket, then random ones, in as many parts as the round asks for.
         order = F.col("rep") if round_ == 0 else F.xxhash64("rep", F.lit(round_))
         part = F.pmod(F.xxhash64("rep", F.lit(-round_)), F.lit(parts))
@@ -208,10 +226,10 @@ def _links(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n") - 1e-9)
         )
         pairs = pairs.select(F.least("rep", "other").alias("left"), F.greatest("rep", "other").alias("right")).distinct()
-        pairs = cut_lineage(pairs.join(tested, ["left", "right"], "left_anti"))
-        tested = cut_lineage(tested.unionByName(pairs))
-        links = cut_lineage(links.unionByName(_verified(pairs, sets, similarity)))
-        open_ = cut_lineage(
+        pairs = work.keep(pairs.join(tested, ["left", "right"], "left_anti"))
+        tested = work.keep(tested.unionByName(pairs))
+        links = work.keep(links.unionByName(_verified(pairs, sets, similarity)))
+        open_ = work.keep(
             labelled.join(chosen.select("band", F.col("other").alias("rep")), ["band", "rep"], "left_anti").select("rep", "n", "band")
         )
         round_ += 1
