@@ -28,16 +28,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; one of which no word is left goes."""
     also = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = remove_lines(docs, also=tuple(also)).withColumnRenamed("kept", "text")
-    kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return _counted(kept.select(*docs.columns))
+    kept = remove_lines(docs, also=tuple(also))
+    kept = kept.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    places = {"doc_id": "doc_id", "text": "kept"}
+    return _counted(kept.select(*[F.col(places.get(c, f"also.`{c}`")).alias(c) for c in docs.columns]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
-    also = [c for c in docs.columns if c != "doc_id"]
-    classes = near_duplicate_classes(docs, also=tuple(also))
-    return classes.where(F.col("key") == F.col("class_key")).select(*docs.columns)
+    classes = near_duplicate_classes(docs, also=tuple(docs.columns))
+    return classes.where(F.col("key") == F.col("class_key")).select("also.*")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,12 +41,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: Iterable[str] = ()) -> DataFrame:
-    """Columns ``key``, ``doc_id``, ``text`` and those in ``also``; ``key`` is a unique integer in document order.
+    """Columns ``key``, ``doc_id``, ``text`` and, as the struct ``also``, those in ``also``; ``key`` is a unique integer in document order.
 
     Unique integer ids serve as keys themselves. Otherwise (null, repeated or non-integer ids) the rows are ordered by id,
     nulls first, then by a hash of the text, and numbered once; equal rows are then documents of their own.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *also)
+    # A struct keeps names of the caller's columns apart from ours.
+    more = [F.struct(*also).alias("also")] if also else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     if dict(rows.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         total, present, distinct = rows.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
         if total == present == distinct:

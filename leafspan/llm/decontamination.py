@@ -258,7 +258,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
     rows = keyed(docs, id_col, text_col, [c for c in names if c not in (id_col, text_col)])
     joined = rows.join(marks, "key").withColumn("text", F.coalesce("__clean", "text"))
     joined = joined.where(~F.col("__hit") | (F.regexp_instr("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")) > 0))
-    return joined.select(*[F.col({id_col: "doc_id", text_col: "text"}.get(c, c)).alias(c) for c in names])
+    return joined.select(*[F.col({id_col: "doc_id", text_col: "text"}.get(c, f"also.`{c}`")).alias(c) for c in names])
 
 
 def _sized(benchmark: DataFrame, window: int, options: dict) -> Iterator[NgramSet | None]:

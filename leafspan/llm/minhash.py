@@ -152,7 +152,7 @@ def near_duplicate_classes(
     text_col: str = "text",
     also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: ``key, doc_id, class_key`` and the columns in ``also`` (with the text when it is named there).
+    """One row per document: ``key, doc_id, class_key`` and the struct ``also`` of the columns named in ``also``.
 
     ``class_key`` is the least key of the documents that are connected by links: equal texts, or candidates of the bands whose
     sets of ``size``-word shingles have a Jaccard similarity of at least ``similarity``. Null counts as an empty text; texts
@@ -160,7 +160,7 @@ def near_duplicate_classes(
     table gives no rows. Keys are the ids where these are unique integers, see ``common.keyed``.
     """
     spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col, [c for c in also if c not in (id_col, text_col)])
+    rows = keyed(docs, id_col, text_col, also)
     signed = cut_lineage(_banded(rows, size, bands, per_band))
     # Equal texts have equal bands, so one of them stands for all.
     texts = cut_lineage(signed.groupBy("a", "b").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -178,8 +178,7 @@ def near_duplicate_classes(
     del signed, texts, sets, links, member, classes, open_, entries, shared
     work.close()
     release(spark)
-    wanted = rows.select("key", "doc_id", *([F.col("text")] if text_col in also else []), *[c for c in also if c not in (id_col, text_col)])
-    return wanted.join(by_key, "key")
+    return rows.select("key", "doc_id", *(["also"] if also else [])).join(by_key, "key")
 
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:
