@@ -25,7 +25,7 @@ from leafspan.session import cut_lineage
 CAPACITY = 4096
 END_ID = 1
 # Bytes of text encoded at once: larger slices hold fewer distinct words in all.
-SLICE = 6_000_000
+SLICE = 3_000_000
 
 
 class CapacityTree:

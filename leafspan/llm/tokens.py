@@ -8,7 +8,7 @@ from array import array
 import numpy as np
 
 # Words in one generation of a worker's cache; the last generation is kept beside the new one.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 # Words encoded as one text.
 JOINED_WORDS = 2_000
 
