@@ -4,9 +4,11 @@ Each shingle of a document emits exponential arrivals at a rate that grows with
 which keeps the shingle of its earliest arrival. A shingle stops as soon as its next arrival is later than every register.
 Two documents agree in a register with the probability Jaccard similarity of their weighted shingles.
 
-Documents that agree in all registers of a band are candidates. A bucket of a band is never expanded into all pairs: in
-each round one member of it is compared with the members of other components, links join components, and a compared member
-leaves its bucket, until no bucket holds two components. More members are compared per round as rounds go on.
+Documents that agree in all registers of a band are candidates. First every member of a bucket is compared with the bucket's
+first one, and links join components; that settles most buckets. In those that still hold several components, the shingles that
+only one of the remaining texts has are counted: they lie outside every intersection, so a text of which more than a fifth is
+its own cannot be linked and leaves. What remains is compared in blocks of bounded size: a task intersects the sets of two blocks
+of a bucket and returns only links that join components, so no pairs are made into rows, and every member meets every other.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from leafspan.session import cut_lineage
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+# A block has about so many texts of a bucket and so many shingles at most; a longer text is a block of its own size.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +146,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "left").join(other, "right").select("left", "right", "one", "other").mapInArrow(run, "left long, right long")
 
 
+def _own_shingles(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep, own``: how many shingles of a text none of the other texts ``reps`` has; a text without one has no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("shingles").to_pylist()
+            ends = np.cumsum([0, *map(len, parts)]) // 8
+            values = pa.array(np.frombuffer(b"".join(parts), "<i8"))
+            yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "s": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)})
+
+    of_texts = sets.withColumnRenamed("key", "rep").join(reps, "rep").select("rep", "shingles")
+    held = of_texts.mapInArrow(run, "rep long, s array<long>").select("rep", F.explode("s").alias("s"))
+    once = held.groupBy("s").agg(F.count("*").alias("texts"), F.min("rep").alias("rep")).where("texts = 1")
+    return once.groupBy("rep").agg(F.count("*").alias("own"))
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     size: int = SHINGLE_WORDS,
@@ -201,38 +221,100 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
 
 def _links(open_: DataFrame, sets: DataFrame, similarity: float, work: Workspace) -> DataFrame:
     """Verified links that connect what all candidate pairs of the buckets would connect."""
-    spark = open_.sparkSession
-    none = spark.createDataFrame([], "left long, right long")
-    links, tested, round_ = none, none, 0
-    while True:
-        if round_ == 0:
-            labelled = open_.withColumn("label", F.col("rep"))
-        else:
-            labelled = open_.join(components(links, work), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        # Buckets that still hold two components.
-        split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-        labelled = work.keep(labelled.join(split, "band"))
-        if labelled.isEmpty():
-            return links
-        parts = 4**round_
-        # The first member of a bucket, then random ones, in as many parts as the round asks for.
-        order = F.col("rep") if round_ == 0 else F.xxhash64("rep", F.lit(round_))
-        part = F.pmod(F.xxhash64("rep", F.lit(-round_)), F.lit(parts))
-        chosen = labelled.groupBy("band", part.alias("part")).agg(F.min_by(F.struct("rep", "n", "label"), order).alias("c"))
-        chosen = chosen.select("band", F.col("c.rep").alias("other"), F.col("c.n").alias("other_n"), F.col("c.label").alias("other_label"))
-        pairs = labelled.join(chosen, "band").where(
-            (F.col("label") != F.col("other_label"))
-            & (F.least("n", "other_n") >= similarity * F.greatest("n", "other_n") - 1e-9)
-        )
-        pairs = pairs.select(F.least("rep", "other").alias("left"), F.greatest("rep", "other").alias("right")).distinct()
-        pairs = work.keep(pairs.join(tested, ["left", "right"], "left_anti"))
-        tested = work.keep(tested.unionByName(pairs))
-        links = work.keep(links.unionByName(_verified(pairs, sets, similarity)))
-        open_ = work.keep(
-            labelled.join(chosen.select("band", F.col("other").alias("rep")), ["band", "rep"], "left_anti").select("rep", "n", "band")
-        )
-        round_ += 1
-        release(spark)
+    first = open_.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c")).select("band", F.col("c.rep").alias("left"), F.col("c.n").alias("left_n"))
+    near = F.least("n", "left_n") >= similarity * F.greatest("n", "left_n") - 1e-9
+    stars = open_.join(first, "band").where((F.col("rep") != F.col("left")) & near).select("left", F.col("rep").alias("right")).distinct()
+    links = work.keep(_verified(work.keep(stars), sets, similarity))
+    release(open_.sparkSession)
+    labelled = open_.join(components(links, work), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    labelled = _split(labelled, work)
+    own = _own_shingles(sets, labelled.select("rep").distinct())
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    labelled = labelled.join(own, "rep", "left").where(shared >= similarity * F.col("n") - 1e-9)
+    labelled = _split(work.keep(labelled.select("band", "rep", "n", "label")), work)
+    release(open_.sparkSession)
+    return work.keep(links.unionByName(_links_of_blocks(labelled, sets, similarity)))
+
+
+def _links_of_blocks(labelled: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between the members of each bucket that lie in different components; of several between two, one."""
+    size = labelled.groupBy("band").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES))
+    placed = labelled.join(size.select("band", blocks.alias("blocks")), "band")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")))
+    placed = placed.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = [F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high")]
+    placed = placed.select("band", *pair, "block", "rep", "label", "n")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    # Small buckets share a task; a part takes about as much as a block.
+    parts = max(64, total // BLOCK_SHINGLES)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("band", "low", "high"), F.lit(parts)))
+    held = placed.join(sets.withColumnRenamed("key", "rep"), "rep")
+
+    def run(part: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        band, low, high, block, rep, label = (part.column(c).to_numpy() for c in ("band", "low", "high", "block", "rep", "label"))
+        order = np.lexsort((high, low, band))
+        same = (np.diff(band[order]) == 0) & (np.diff(low[order]) == 0) & (np.diff(high[order]) == 0)
+        found = part.column("shingles")
+        for rows in np.split(order, np.flatnonzero(~same) + 1):
+            if len(np.unique(label[rows])) > 1:
+                links += joining(rep[rows], label[rows], block[rows] == low[rows[0]], found.take(rows).to_pylist(), low[rows[0]] == high[rows[0]], similarity)
+        left, right = (pa.array([link[i] for link in links], pa.int64()) for i in range(2))
+        return pa.table({"left": left, "right": right})
+
+    return held.groupBy("part").applyInArrow(run, "left long, right long").distinct()
+
+
+def joining(
+    rep: np.ndarray, label: np.ndarray, lower: np.ndarray, found: list[bytes], alike: bool, similarity: float
+) -> list[tuple[int, int]]:
+    """Links between the texts of two blocks (``alike``: of one) that join all components which these blocks' links join."""
+    sets = [np.frombuffer(f, "<u8") for f in found]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    one = np.arange(len(sets)) if alike else np.flatnonzero(lower)
+    other = one if alike else np.flatnonzero(~lower)
+    if not len(one) or not len(other):
+        return []
+    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    # Only shingles that two of the texts have meet; they are taken in stripes, so the matrices stay small.
+    several = often[column] > 1
+    row, column = row[several], (np.cumsum(often > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(one), len(other)), np.float32)
+    width = 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[row[a:b], column[a:b] - start] = 1
+        both += has[one] @ has[other].T
+    linked = both >= similarity * (n[one][:, None] + n[other][None, :] - both) - 1e-6
+    x, y = np.nonzero(linked & (label[one][:, None] != label[other][None, :]))
+    x, y = one[x], other[y]
+    ends = np.sort(np.stack([label[x], label[y]], axis=1), axis=1)
+    _, first = np.unique(ends, axis=0, return_index=True)
+    top: dict[int, int] = {}
+
+    def root(at: int) -> int:
+        while (up := top.setdefault(at, at)) != at:
+            top[at] = at = top[up]
+        return at
+
+    links = []
+    for i in first.tolist():
+        p, q = root(int(ends[i, 0])), root(int(ends[i, 1]))
+        if p != q:
+            top[p] = q
+            links.append((int(min(rep[x[i]], rep[y[i]])), int(max(rep[x[i]], rep[y[i]]))))
+    return links
+
+
+def _split(labelled: DataFrame, work: Workspace) -> DataFrame:
+    """The members of the buckets that hold two components."""
+    split = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    return work.keep(labelled.join(split, "band"))
 
 
 @query("op1_minhash_near_dedup")
