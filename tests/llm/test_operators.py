@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,56 @@ def test_minhash_classes(spark, odd):
     assert minhash.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_blocks_join_what_all_pairs_join():
+    draw = np.random.default_rng(3)
+    base = [draw.choice(9000, 60, replace=False) for _ in range(3)]
+    sets = []
+    for i in range(70):
+        changed = base[i % 3].copy()
+        changed[draw.choice(60, draw.integers(0, 14), replace=False)] = draw.integers(9000, 9030)
+        sets.append(np.unique(changed).astype("<u8"))
+    rep, label = np.arange(70), np.arange(70)
+    label[[9, 12, 15]] = 9
+
+    def components(links):
+        group = label.copy()
+        for a, b in links:
+            group[group == group[a]] = group[b]
+        return {tuple(np.flatnonzero(group == g)) for g in np.unique(group)}
+
+    near = [
+        (a, b) for a in range(70) for b in range(a)
+        if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+    ]
+    block, links = rep % 4, []
+    for low in range(4):
+        for high in range(low, 4):
+            rows = np.flatnonzero((block == low) | (block == high))
+            found = [sets[i].tobytes() for i in rows]
+            got = minhash.joining(rep[rows], label[rows], block[rows] == low, found, low == high, 0.8)
+            assert all((b, a) in near for a, b in got) and len(got) < len(rows)
+            links += got
+    assert len(near) > len(links) and components(links) == components(near) and 3 < len(components(near)) < 70
+
+
+@pytest.mark.parametrize("texts, shingles", [(5, 1_000_000), (512, 700)])
+def test_minhash_classes_in_small_blocks(spark, monkeypatch, texts, shingles):
+    # Copies of one text, of which many are nearer to it than to one another, and no text equal to it.
+    base = prose(7, 120).split()
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for j in range(2 + i % 5):
+            del words[(i * 13 + j * 29) % len(words)]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = by_id(minhash.near_duplicate_classes(docs))
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", texts)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    cut = by_id(minhash.near_duplicate_classes(docs))
+    assert {i: r["class_key"] for i, r in cut.items()} == {i: r["class_key"] for i, r in whole.items()}
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out())
