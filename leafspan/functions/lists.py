@@ -84,8 +84,12 @@ def best_alignment(scores: np.ndarray) -> float:
 
 @F.pandas_udf(DoubleType())
 def list_f1(predicted: pd.Series, gold: pd.Series) -> pd.Series:
-    """Mean item F1 under the best alignment, rounded to two digits."""
-    def one(ours, theirs) -> float:
+    """Mean item F1 under the best alignment, rounded to two digits; 0 when a list has no items, null when one is null."""
+    def one(ours, theirs) -> float | None:
+        if ours is None or theirs is None:
+            return None
+        if not len(ours) or not len(theirs):
+            return 0.0
         ours = [set(normalise_item(x).split()) for x in ours]
         theirs = [set(normalise_item(x).split()) for x in theirs]
         scores = np.array([[_pair_score(p, g) for p in ours] for g in theirs])
@@ -96,7 +100,7 @@ def list_f1(predicted: pd.Series, gold: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def normalise_items(items: pd.Series) -> pd.Series:
-    return items.map(lambda values: [normalise_item(v) for v in values])
+    return items.map(lambda values: None if values is None else [normalise_item(v) for v in values])
 
 
 def list_exact(predicted, gold):

@@ -137,7 +137,8 @@ def repair_endpoints(endpoints: DataFrame, entities: DataFrame) -> DataFrame:
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """``(doc_id, old_name, latest_name)`` from ``(doc_id, old_name, new_name)`` by pointer doubling.
 
-    A name that maps to itself or has no entry is final. Names on a cycle end at the smallest name of the walk.
+    A name that maps to itself or has no entry is final. Where a walk never ends, because it comes to a cycle, all names
+    connected with that cycle get the smallest of them.
     """
     state = cut_lineage(aliases.select("doc_id", "old_name", F.col("new_name").alias("at"), F.lit(False).alias("done")))
     rounds, limit = 0, max(1, state.count()).bit_length() + 1
@@ -152,7 +153,16 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
         rounds += 1
         if state.filter(~F.col("done")).isEmpty():
             break
-    return state.select("doc_id", "old_name", F.col("at").alias("latest_name"))
+    # A walk that stopped at a name with another successor went round a cycle.
+    onward = aliases.filter("old_name <> new_name").select("doc_id", F.col("old_name").alias("at"), F.lit(True).alias("endless")).distinct()
+    state = cut_lineage(salted_join(state, onward, ["doc_id", "at"], ["old_name"], "left", salts=4))
+    endless = state.filter("endless").select("doc_id", "old_name")
+    if endless.isEmpty():
+        return state.select("doc_id", "old_name", F.col("at").alias("latest_name"))
+    steps = aliases.join(endless, ["doc_id", "old_name"], "left_semi")
+    roots = clusters(steps.select("doc_id", F.col("old_name").alias("left"), F.col("new_name").alias("right")))
+    roots = roots.select("doc_id", F.col("name").alias("old_name"), "root")
+    return state.join(roots, ["doc_id", "old_name"], "left").select("doc_id", "old_name", F.coalesce("root", "at").alias("latest_name"))
 
 
 def relabel_edges(edges: DataFrame, resolved: DataFrame) -> DataFrame:

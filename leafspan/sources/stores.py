@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class TableStore:
@@ -36,6 +37,9 @@ class TableStore:
         return bool(self._versions())
 
     def read(self) -> DataFrame:
+        """The current table; a store without one reads as a table without rows and columns."""
+        if not self.exists():
+            return self.spark.createDataFrame([], StructType([]))
         return self.spark.read.parquet(f"{self.folder}/v{self._versions()[-1]}")
 
     def replace(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
@@ -52,13 +56,16 @@ class TableStore:
 
     def delete(self, keys: DataFrame, on: Sequence[str]) -> None:
         """Remove the rows whose ``on`` columns occur in ``keys``; nothing is rewritten when none match."""
+        if not self.exists():
+            return
         current = self.read()
         if not current.join(keys, list(on), "left_semi").isEmpty():
             self.replace(current.join(keys, list(on), "left_anti"))
 
     def reset(self) -> None:
-        """Continue with an empty table of the same columns."""
-        self.replace(self.read().limit(0))
+        """Continue with an empty table of the same columns; a store without a table stays as it is."""
+        if self.exists():
+            self.replace(self.read().limit(0))
 
 
 def cache_key(model: str, prompt: str = "prompt"):

@@ -6,7 +6,7 @@ import pytest
 from leafspan.functions import scoring, tables
 from leafspan.functions import text as T
 from leafspan.functions.chunks import chunk_text
-from leafspan.functions.lists import best_alignment, list_f1, normalise_item
+from leafspan.functions.lists import best_alignment, list_exact, list_f1, normalise_item
 from leafspan.operators import blocks, outline, tree
 from pyspark.sql import functions as F
 
@@ -71,6 +71,9 @@ def test_lists(spark):
         assert best_alignment(m) == pytest.approx(best)
     df = spark.createDataFrame([(["red car", "3"], ["three", "a red bus"])], "a array<string>, b array<string>")
     assert df.select(list_f1("a", "b").alias("x")).first().x == 0.75
+    rows = [(["a"], []), ([], ["a"]), ([], []), (None, ["a"]), (["a"], None)]
+    odd = spark.createDataFrame(rows, "a array<string>, b array<string>").select(list_f1("a", "b").alias("x"), list_exact("a", "b").alias("y"))
+    assert [str(r.x) for r in odd.collect()] == ["0.0", "0.0", "0.0", "None", "None"]
 
 
 def test_chunks_rejoin_and_respect_limit():

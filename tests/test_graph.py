@@ -59,6 +59,15 @@ def test_aliases(spark):
     assert all(found[f"a{i}"] == "a11" for i in range(11)) and found["s"] == "s"
 
 
+def test_aliases_on_cycles(spark):
+    rows = [("d", "a", "b"), ("d", "b", "a"), ("d", "x", "y"), ("d", "y", "z"), ("d", "z", "x"), ("d", "w", "y"), ("d", "p", "q"), ("e", "a", "c")]
+    got = entities.resolve_aliases(spark.createDataFrame(rows, "doc_id string, old_name string, new_name string")).collect()
+    found = {(r.doc_id, r.old_name): r.latest_name for r in got}
+    assert len(got) == len(rows) and found == {
+        ("d", "a"): "a", ("d", "b"): "a", ("d", "w"): "w", ("d", "x"): "w", ("d", "y"): "w", ("d", "z"): "w", ("d", "p"): "q", ("e", "a"): "c"
+    }
+
+
 def test_endpoint_repair(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -32,6 +32,9 @@ def test_pending_files(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     store = stores.TableStore(spark, str(tmp_path), "vectors")
+    store.delete(spark.range(3), ["id"])
+    store.reset()
+    assert not store.exists() and store.read().isEmpty()
     store.append(spark.range(3))
     store.append(spark.range(3, 5))
     store.delete(spark.createDataFrame([(1,), (77,)], "id long"), ["id"])

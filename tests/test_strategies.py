@@ -82,12 +82,13 @@ def test_modalities(index, asked):
 
 
 def test_global_answers(index, spark):
-    rows = [("g1", "d", "How many images are on pages 1 to 2?"), ("g2", "d", "List all tables on pages 1 to 9.")]
+    rows = [("g1", "d", "How many images are on pages 1 to 2?"), ("g2", "d", "List all tables on pages 1 to 9."), ("g3", "d", "List all tables on pages 70 to 90.")]
     planned = routing.route(spark.createDataFrame(rows, "qid string, doc_id string, question string"))
     nodes = index.nodes.withColumn("title_path", F.lit(""))
     chosen = routing.apply_filters(planned, nodes, "qid")
     told = {r.qid: r.answer for r in answers.answer_global(planned, chosen, index.nodes, ExtractiveGenerator()).collect()}
     assert told["g1"] == answers.COUNT_ANSWER % (1, rows[0][2]) and "delta table" in told["g2"]
+    assert told["g3"] == answers.NO_ITEMS_ANSWER
 
 
 def test_reduction_yields_one_answer_each(spark, asked):
