@@ -138,8 +138,11 @@ def zones_of(texts: list[bytes], match: int) -> dict[str, np.ndarray] | None:
         # Zero stands for a side that the text is too short for.
         short = powers.between(prefixes, begin[inside], end_[inside]) >> np.uint64(48)
         sides[inside] |= np.maximum(short, np.uint64(1)).astype(np.uint32) << np.uint32(shift)
-    zone = mix(powers.between(prefixes, start, end - 1 + match) + (end - start).astype(np.uint64))
+    # Windows of a periodic zone may have another occurrence of the gram than the one whose sides these are. No other zone has
+    # zero on both sides, since its text is at least a window long.
     periodic = (found > 1) | (anchor < last)
+    sides[periodic] = 0
+    zone = mix(powers.between(prefixes, start, end - 1 + match) + (end - start).astype(np.uint64))
     return {"periodic": periodic, "document": document, "at": start - offsets[document], "n": end - start, "anchor": anchor - start, "head": head, "sides": sides, "gram": hashes, "zone": zone}
 
 
@@ -268,7 +271,8 @@ def _doubtful(array: Suffixes, new: np.ndarray, match: int) -> Suffixes:
     """Windows that may occur in another zone of their anchor, of anchors that the batch has.
 
     A window has at least half of its other bytes on one side of the gram, so a zone that shares neither side with another one
-    has no such window, and one that shares only one side has them on that side. Anchors crowded in a task are compared whole.
+    has no such window, and one that shares only one side has them on that side. Anchors crowded in a task, and those with a
+    periodic zone, are compared whole.
     """
     size, before = _class_sizes(array.gram)
     number = np.cumsum(before == 0) - 1
@@ -278,9 +282,9 @@ def _doubtful(array: Suffixes, new: np.ndarray, match: int) -> Suffixes:
         return array
     gram = max(1, match // 3)
     beside = (match - gram + 1) // 2
-    crowded = np.bincount(number[fresh], array.n == 0)[number[fresh]] > 0
-    left = _shared(array, array.sides >> np.uint32(16)) | crowded
-    right = _shared(array, array.sides & np.uint32(0xFFFF)) | crowded
+    whole = np.bincount(number[fresh], (array.n == 0) | (array.sides == 0))[number[fresh]] > 0
+    left = _shared(array, array.sides >> np.uint32(16)) | whole
+    right = _shared(array, array.sides & np.uint32(0xFFFF)) | whole
     first = np.where(left, 0, np.maximum(0, array.anchor + gram + beside - match))
     last = np.where(right, array.n - 1, np.minimum(array.n - 1, array.anchor - beside))
     keep = (left | right) & (first <= last) & (array.n > 0)

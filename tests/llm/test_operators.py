@@ -102,6 +102,22 @@ def test_suffixes_with_odd_rows_and_crowded_anchors(spark, odd):
         assert got[i]["n_removed"] == sum(flags)
 
 
+@pytest.mark.parametrize("batches", [1, 4])
+def test_suffixes_with_a_phrase_repeated_nearby(spark, batches):
+    draw = np.random.default_rng(11)
+    some = lambda n: "".join(map(chr, draw.integers(97, 123, n)))
+    twice, once = [], []
+    for i in range(60):
+        phrase, between, after = some(40), some(4 + i % 20), some(90)
+        twice.append(some(90) + phrase + between + phrase + after)
+        once.append(some(90) + between + phrase + after)
+    texts = [t for i, pair in enumerate(zip(twice, once)) for t in (pair if i % 2 else pair[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(suffixes.remove_repeated_bytes(docs, batches=batches))
+    for i, flags in enumerate(removed_units([t.encode() for t in texts], 100)):
+        assert got[i]["n_removed"] == sum(flags), i
+
+
 def test_lines(docs, odd):
     seen = set()
     got = by_id(lines.remove_lines(docs))
