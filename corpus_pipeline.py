@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; one of which no word is left goes."""
     also = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = remove_lines(docs, also=tuple(also))
+    kept = remove_lines(docs, also=tuple(also), whole=True)
     kept = kept.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     places = {"doc_id": "doc_id", "text": "kept"}
     return _counted(kept.select(*[F.col(places.get(c, f"also.`{c}`")).alias(c) for c in docs.columns]))

@@ -140,6 +140,34 @@ def test_lines(docs, odd):
     assert lines.remove_lines(docs.limit(0)).count() == 0
 
 
+def test_whole_repeated_passages(spark):
+    draw = np.random.default_rng(4)
+    texts = ["one two three four five six\nthe end\nfirst", "one two three four five six\nthe end\nsecond", *TEXTS]
+    texts += ["\n".join(" ".join("ab"[draw.integers(2)] for _ in range(draw.integers(0, 4))) for _ in range(draw.integers(1, 14))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got, seen = by_id(lines.remove_lines(docs, whole=True)), set()
+    for i, text in enumerate(texts):
+        all_lines = (text or "").split("\n") if text is not None else []
+        seq, gone = [j for j, x in enumerate(all_lines) if x.split()], set()
+        # Every run of any length that starts earlier; no run of fewer lines is taken for it.
+        for a in range(len(seq)):
+            runs = [tuple(all_lines[j] for j in seq[a:b]) for b in range(a + 1, min(len(seq), a + 60) + 1)]
+            for run in runs:
+                if run in seen and sum(len(x.split()) for x in run) >= lines.MIN_WORDS:
+                    gone.update(seq[a : a + len(run)])
+            seen.update(runs)
+        kept = "\n".join(x for j, x in enumerate(all_lines) if j not in gone) if text is not None else None
+        assert (got[i]["n_removed"], got[i]["kept"]) == (len(gone), kept), i
+    assert got[1]["kept"] == "second"
+
+
+def test_pipeline_removes_whole_passages(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(0, "one two three four five six\nthe end\nfirst"), (1, "one two three four five six\nthe end\nsecond")], "doc_id long, text string")
+    assert by_id(corpus_pipeline.repeated_lines(spark, docs, ""))[1]["text"] == "second"
+
+
 def test_decontamination_blocks_agree_with_brute_force(spark, docs, odd):
     items = [(1, " ".join(PASSAGE.split()[5:25])), (2, "Two WORDS"), (2, "Two WORDS"), (3, None), (None, "one"), (4, " . "), (10, " ".join(PASSAGE.split()[10:22]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(1))
