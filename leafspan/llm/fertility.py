@@ -19,6 +19,9 @@ from leafspan.session import cut_lineage
 # A document fails where a measure lies further from its group's median than so many times the 5 to 95 % range.
 WIDTH = 2.0
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+# Least half-width of each band, for groups in which nearly all documents have one value: characters per token; the share of one
+# character of four byte tokens in the shortest text that passes the base rules (50 words); entropy relative to its maximum.
+LEAST_WIDTH = {"chars_per_token": 0.25, "byte_share": 0.075, "entropy": 0.02}
 
 SCHEMA = (
     "doc_id {id}, band_group string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -111,8 +114,9 @@ def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
     """Lowest and highest accepted value of each measure per group, from the measures of all documents that pass the base rules."""
     quantiles = [F.percentile_approx(m, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 1000).alias(m) for m in MEASURES]
     by_group = measured.where(~F.col("base_failed")).groupBy("band_group").agg(*quantiles)
-    low = [(F.col(m)[1] - width * (F.col(m)[2] - F.col(m)[0]) - 1e-9).alias(f"{m}_low") for m in MEASURES]
-    high = [(F.col(m)[1] + width * (F.col(m)[2] - F.col(m)[0]) + 1e-9).alias(f"{m}_high") for m in MEASURES]
+    half = {m: F.greatest(width * (F.col(m)[2] - F.col(m)[0]), F.lit(LEAST_WIDTH[m])) + 1e-9 for m in MEASURES}
+    low = [(F.col(m)[1] - half[m]).alias(f"{m}_low") for m in MEASURES]
+    high = [(F.col(m)[1] + half[m]).alias(f"{m}_high") for m in MEASURES]
     return by_group.select("band_group", *low, *high)
 
 

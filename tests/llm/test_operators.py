@@ -410,6 +410,19 @@ def test_clean_documents_pass_the_bands(spark):
     assert dropped / total < 0.02
 
 
+def test_rare_characters_do_not_fail_documents(spark):
+    texts = [prose(600 + i, 200) for i in range(60)] + [prose(700, 2000) + " \U0001F9FF", prose(701, 60) + " \U0001F9FF", "\U0001F9FF\U0001F9F6 " * 60 + prose(702, 60)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = by_id(fertility.judge(docs, packing.public_vocabulary("piece_bpe_32k.model")))
+    assert got[60]["byte_share"] > 0 and got[61]["byte_share"] > 0
+    assert not {"byte_share", "base"} & {x for i in (60, 61) for x in got[i]["reasons"]}
+    assert "byte_share" in got[62]["reasons"] or got[62]["base_failed"]
+    # Copies give every measure a range of nothing.
+    same = [(i, prose(600, 200) + (" other words" if i == 59 else ""), "en") for i in range(60)]
+    got = by_id(fertility.judge(spark.createDataFrame(same, "doc_id long, text string, lang string"), packing.public_vocabulary("piece_bpe_32k.model")))
+    assert got[59]["kept"], got[59]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
