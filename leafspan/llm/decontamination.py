@@ -6,6 +6,7 @@ import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,10 +164,13 @@ def contamination(
     items without id or text are no items; rows of an item that occur twice count once; repeated documents are documents of
     their own; other columns of either table are not looked at.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs, id_col, text_col)
+    return _found_in(keyed(docs, id_col, text_col), _blocks(benchmark, window, block_words, item_col, item_text_col), clean)
+
+
+def _found_in(rows: DataFrame, blocks: Iterator[NgramSet], clean: bool) -> DataFrame:
+    """:func:`contamination` of keyed rows."""
+    spark = rows.sparkSession
     found = []
-    blocks = _blocks(benchmark, window, block_words, item_col, item_text_col)
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
@@ -228,7 +232,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
     """The documents with hit words cut out; a document that has no word left is removed. All columns stay."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     spark = docs.sparkSession
-    blocks = list(_sized(benchmark, window, options))
+    blocks = _blocks(
+        benchmark, window, options.get("block_words", BLOCK_WORDS), options.get("item_col", "item_id"), options.get("item_text_col", "text")
+    )
+    first = next(blocks)
+    second = next(blocks, None)
     schema, names = docs.schema, docs.columns
 
     def run_with(shared):
@@ -250,27 +258,18 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WOR
 
         return run
 
-    if len(blocks) == 1:
-        return docs.mapInArrow(run_with(_shared(spark, blocks[0])), schema)
-    # Hits are judged on the whole text, so the blocks' hits are merged before anything is cut.
-    found = contamination(docs, benchmark, window, clean=True, **options)
-    marks = found.select("key", (F.size("spans") > 0).alias("__hit"), F.col("clean").alias("__clean"))
+    if second is None:
+        return docs.mapInArrow(run_with(_shared(spark, first)), schema)
+    # Hits are judged on the whole text, so the blocks' hits are merged before anything is cut. Rows are keyed once: numbers given
+    # to null or repeated ids by another sort could differ.
     rows = keyed(docs, id_col, text_col, [c for c in names if c not in (id_col, text_col)])
+    found = _found_in(rows, chain((first, second), blocks), True)
+    marks = found.select("key", (F.size("spans") > 0).alias("__hit"), F.col("clean").alias("__clean"))
     joined = rows.join(marks, "key").withColumn("text", F.coalesce("__clean", "text"))
     joined = joined.where(~F.col("__hit") | (F.regexp_instr("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")) > 0))
     return joined.select(*[F.col({id_col: "doc_id", text_col: "text"}.get(c, f"also.`{c}`")).alias(c) for c in names])
 
 
-def _sized(benchmark: DataFrame, window: int, options: dict) -> Iterator[NgramSet | None]:
-    """The only block, or two placeholders when there are several."""
-    blocks = _blocks(benchmark, window, options.get("block_words", BLOCK_WORDS), options.get("item_col", "item_id"), options.get("item_text_col", "text"))
-    first = next(blocks)
-    if next(blocks, None) is None:
-        yield first
-    else:
-        yield from (None, None)
-
-
 SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -197,6 +197,22 @@ def test_decontamination_blocks_agree_with_brute_force(spark, docs, odd):
     assert decontamination.contamination(odd, bench).count() == 6
 
 
+def test_removed_spans_do_not_depend_on_blocks(spark, monkeypatch):
+    items = [(i, prose(400 + i, 12)) for i in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None if i % 3 == 0 else i % 7, f"{prose(500 + i, 30)} {items[i % 6][1] if i % 2 else ''} end{i}", "x" * (i * 37 % 900)) for i in range(120)]
+    rows += [(None, items[0][1], "gone"), (1, None, "null"), (1, None, "null"), (2, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(5)
+    calls, once = [], decontamination.keyed
+    monkeypatch.setattr(decontamination, "keyed", lambda *a, **b: calls.append(1) or once(*a, **b))
+    whole = decontamination.remove_spans(docs, bench)
+    cut = decontamination.remove_spans(docs, bench, block_words=30)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(cut) == plain(whole) and len(plain(whole)) == len(rows) - 1
+    # A second numbering of the rows need not be the same.
+    assert len(calls) == 1
+
+
 def test_packing(docs, odd):
     capacity = 256
     pieces = packing.pack(docs, packing.public_vocabulary(), capacity, with_ids=True).collect()
