@@ -112,7 +112,8 @@ def _banded(rows: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
             })
 
     text = F.coalesce("text", F.lit(""))
-    digested = rows.select("key", text.alias("text"), F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(17)).alias("b"))
+    # The second half hashes the text from another seed; a number after the text would only hash the first half.
+    digested = rows.select("key", text.alias("text"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(17), text).alias("b"))
     return digested.mapInArrow(run, "key long, a long, b long, n long, bands array<long>")
 
 

@@ -347,6 +347,17 @@ def test_minhash_classes_in_small_blocks(spark, monkeypatch, texts, shingles):
     assert {i: r["class_key"] for i, r in cut.items()} == {i: r["class_key"] for i, r in whole.items()}
 
 
+def test_halves_of_a_digest_are_independent(spark):
+    import struct
+
+    import xxhash
+
+    rows = spark.createDataFrame([(i, prose(800 + i, 20)) for i in range(5)], "key long, text string")
+    for r in minhash._banded(rows, 5, 24, 4).collect():
+        after = xxhash.xxh64_intdigest(struct.pack("<i", 17), seed=r["a"] % (1 << 64))
+        assert r["b"] % (1 << 64) != after
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out())
