@@ -20,8 +20,10 @@ from leafspan.session import ensure_checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those that identification rejects go."""
+    """Documents in a learned language; those that identification rejects go. Without a label to learn from, those with a letter stay."""
     model = fit(docs.where(~held_out()), order=F.col("doc_id"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 

@@ -358,6 +358,13 @@ def test_halves_of_a_digest_are_independent(spark):
         assert r["b"] % (1 << 64) != after
 
 
+def test_pipeline_keeps_texts_without_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123 !?", None), (3, None, None), (4, "слова", None)], "doc_id long, text string, lang string")
+    assert set(by_id(corpus_pipeline.language(spark, docs, ""))) == {1, 4}
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out())
