@@ -4,7 +4,7 @@ from importlib import import_module
 
 from leafspan.llm.common import ORACLES, QUERIES
 
-MODULES = ["packing", "decontamination", "fertility", "substrings", "suffixes", "sharding", "language", "lines", "minhash", "personal", "negatives", "manifest"]
+MODULES = ["packing", "decontamination", "fertility", "substrings", "suffixes", "sharding", "language", "lines", "minhash", "personal", "negatives", "manifest", "hmm"]
 
 
 def _load() -> None:
