@@ -4,7 +4,7 @@ from importlib import import_module
 
 from leafspan.catalog.base import ORACLES, QUERIES
 
-MODULES = ["lexical", "vectors", "ranking", "blocks", "tree", "entities", "graph", "evaluate", "text", "answers", "sources"]
+MODULES = ["lexical", "vectors", "ranking", "blocks", "tree", "entities", "graph", "evaluate", "text", "answers", "sources", "merging"]
 
 
 def _load() -> None:

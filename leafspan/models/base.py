@@ -118,6 +118,27 @@ class ExtractiveGenerator:
         return F.concat(F.lit("Image "), image_path, F.lit(": "), self.complete(prompt))
 
 
+class PairJudge:
+    """Judges pairs by a plain rule: a table or text continues one that is at least half as long."""
+
+    PAIRS = (
+        "array<struct<pdf_id_1:long,table_1_html:string,table_2_html:string,"
+        "incomplete_text:string,candidate_list:array<struct<pdf_id:long,text:string>>>>"
+    )
+
+    def complete(self, prompt: Column) -> Column:
+        pairs = F.from_json(F.substring_index(prompt, "Pairs:\n", -1), self.PAIRS)
+        none = F.array(F.lit(-1).cast("long"))
+
+        def judgment(pair: Column) -> Column:
+            fits = F.filter(pair["candidate_list"], lambda c: F.length(c["text"]) <= 2 * F.length(pair["incomplete_text"]))
+            ids = F.transform(fits, lambda c: c["pdf_id"])
+            merged = F.when(F.length(pair["table_2_html"]) <= 2 * F.length(pair["table_1_html"]), pair["pdf_id_1"]).otherwise(F.lit(-1).cast("long"))
+            return F.struct(merged.alias("merged_id"), F.when(F.size(ids) > 0, ids).otherwise(none).alias("stitched_pdf_ids"))
+
+        return F.to_json(F.struct(F.transform(pairs, judgment).alias("judgments")))
+
+
 class NameExtractor:
     """Capitalised words stand in for the entities a language model would name."""
 

@@ -100,7 +100,7 @@ def test_reduction_yields_one_answer_each(spark, asked):
 @pytest.mark.parametrize("rows", [None, 2])
 def test_evidence_respects_budget(index, asked, rows):
     retrieved = asked.select("qid", "doc_id").join(index.nodes.select("doc_id", "index_id"), "doc_id")
-    packed = answers.pack_evidence(retrieved, index.nodes, limit=4, per_part=3, rows=rows).filter("qid = 'q1'").orderBy("chunk").collect()
+    packed = answers.pack_evidence(retrieved, index.nodes, limit=4, rows=rows).filter("qid = 'q1'").orderBy("chunk").collect()
     text = answers.SEPARATOR.join(r.evidence for r in packed)
     assert [p.split("Content: ")[1].strip() for p in text.split(answers.SEPARATOR)] == [n[5] for n in NODES]
 
