@@ -24,7 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs.where(~held_out()), order=F.col("doc_id"))
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    # Other names keep the caller's columns apart from the prediction's.
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    found = predict(docs.toDF(*names), model, names[docs.columns.index("text")])
+    return found.where(~F.col("rejected")).select(*names).toDF(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
