@@ -81,7 +81,7 @@ class WordBpe(Generations):
             core = part[:-1] if part[-1:] in (b".", b",") and len(part) > 1 else part
             if core.isalpha() and core.isascii():
                 ascii_[core] = None
-            elif core.decode().isalpha():
+            elif core.decode().lower().isalpha():  # lower-casing U+0130 adds a mark that joins the punctuation
                 letters[core] = None
             else:
                 other.add(part)
