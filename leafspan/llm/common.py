@@ -229,5 +229,12 @@ class Workspace:
 
     def close(self) -> None:
         """Delete the run's tables."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._delete(self.folder)
+
+    def drop(self, name: str) -> None:
+        """Delete one table, which no later plan may read."""
+        self._delete(f"{self.folder}/{name}")
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,12 +9,13 @@ has the share that add-one smoothing leaves for unknown words in every state.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +27,54 @@ STATES = 8
 ITERATIONS = 6
 # Text of a block, and text for each bucket of words.
 BLOCK_BYTES = 16_000_000
-BUCKET_BYTES = 64_000_000
+BUCKET_BYTES, LEAST_BUCKETS = 64_000_000, 256
 # Training texts are cut into runs of so many tokens; a task holds the recursion of so many tokens at once.
 RUN_TOKENS = 128
 HELD_TOKENS = 400_000
 # Longer texts are scored in pieces whose transfer matrices are multiplied up.
-LONG_TOKENS, PIECE_TOKENS = 4_096, 512
+LONG_TOKENS, PIECE_TOKENS = 32_768, 512
 END = b""  # no word is empty
 STATS = 64  # groups that add up the blocks' transition counts
 
-BLOCKS = "kind int, block long, bucket long, at int, keys binary, counts binary, train binary, low binary, rare binary, place binary, hashes binary, seen binary"
+BLOCKS = "kind int, block long, bucket long, at int, keys binary, counts binary, train binary, low binary, rare binary, homes binary, hashes binary, seen binary"
+
+
+def squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers by byte planes, compressed."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns if len(c))
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def widened(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns of :func:`squeezed`, which must be of equal length."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    count, at, out = len(planes) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        part = np.ascontiguousarray(planes[at : at + count * size].reshape(size, count).T)
+        out.append(part.reshape(-1).view(kind))
+        at += count * size
+    return out
+
+
+def packed_counts(n: np.ndarray) -> bytes:
+    """Expected counts by word and state: each word's total, and its shares as 16-bit roots, which resolve small shares finely."""
+    total = n.sum(axis=1)
+    roots = np.rint(65_535 * np.sqrt(n.T / np.maximum(total, 1e-30))).astype(np.uint16)
+    high, low = (roots >> 8).astype(np.uint8), roots.astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(total.astype(np.float32).tobytes() + high.tobytes() + low.tobytes())
+
+
+def unpacked_counts(data: bytes, states: int) -> np.ndarray:
+    """The counts that :func:`packed_counts` packed; a word's shares add up to its total."""
+    plain = zstandard.ZstdDecompressor().decompress(data)
+    count = len(plain) // (4 + 2 * states)
+    total = np.frombuffer(plain, np.float32, count)
+    high, low = np.frombuffer(plain, np.uint8, offset=4 * count).reshape(2, states, count)
+    shares = ((high.astype(np.uint16) << 8) | low).astype(np.float64)
+    shares *= shares
+    shares *= total / np.maximum(shares.sum(axis=0), 1e-30)
+    return shares.T
 
 
 class _Numbers(dict):
@@ -47,7 +86,7 @@ class _Numbers(dict):
 
 
 def _packed(held: list[tuple[int, bool, np.ndarray]], numbers: _Numbers, block: int, buckets: int) -> Iterator[dict]:
-    """A block's row and those of its words; words are numbered by frequency in the texts and placed by bucket."""
+    """A block's row and those of its words; words are numbered by frequency in the texts and placed by bucket, then number."""
     counts = np.array([len(h[2]) for h in held], np.int64)
     train = np.array([h[1] for h in held], bool)
     tokens = np.concatenate([h[2] for h in held])
@@ -55,28 +94,27 @@ def _packed(held: list[tuple[int, bool, np.ndarray]], numbers: _Numbers, block:
     seen = np.bincount(tokens[np.repeat(train, counts)], minlength=len(numbers))
     hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), np.uint64).reshape(-1, 2)
     bucket = (hashes[:, 0] % np.uint64(buckets)).astype(np.int64)
-    placed = np.argsort(bucket, kind="stable")
     frequent = np.argsort(-often, kind="stable")
-    rank, place = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.uint32)
+    bucket, rank = bucket[frequent], np.empty(len(numbers), np.int64)
     rank[frequent] = np.arange(len(numbers))
-    place[placed] = np.arange(len(numbers))
     tokens = rank[tokens]
     low = np.minimum(tokens, 65_535)
     yield {
         "kind": 0, "block": block, "keys": np.array([h[0] for h in held], np.int64).tobytes(), "counts": counts.tobytes(),
-        "train": train.tobytes(), "low": low.astype(np.uint16).tobytes(), "rare": tokens[low == 65_535].astype(np.uint32).tobytes(),
-        "place": place[frequent].tobytes(),
+        "train": train.tobytes(), "low": squeezed(low.astype(np.uint16)), "rare": squeezed(tokens[low == 65_535].astype(np.uint32)),
+        "homes": squeezed(bucket.astype(np.uint32)),
     }
     at = 0
-    for number, own in by_bucket(bucket):
-        yield {"kind": 1, "block": block, "bucket": number, "at": at, "hashes": hashes[own].tobytes(), "seen": seen[own].astype(np.int64).tobytes()}
+    for number, ranks in by_bucket(bucket):
+        own = frequent[ranks]
+        yield {"kind": 1, "block": block, "bucket": number, "at": at, "hashes": hashes[own].tobytes(), "seen": squeezed(seen[own].astype(np.int64))}
         at += len(own)
 
 
 def _blocks(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
     schema = pa.schema([
         ("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("at", pa.int32()),
-        *[(c, pa.binary()) for c in ("keys", "counts", "train", "low", "rare", "place", "hashes", "seen")],
+        *[(c, pa.binary()) for c in ("keys", "counts", "train", "low", "rare", "homes", "hashes", "seen")],
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,23 +134,24 @@ def _blocks(rows: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
     return rows.select("key", "text", "train").mapInArrow(run, BLOCKS)
 
 
-def first_weights(hashes: np.ndarray, states: int) -> np.ndarray:
-    """A fixed random share of each word for each state, from the word's hash."""
+def first_weights(bucket: int, words: np.ndarray, states: int) -> np.ndarray:
+    """A fixed random share of each word of a bucket for each state."""
     with np.errstate(over="ignore"):
-        drawn = np.stack([mix(hashes + np.uint64(977 * (s + 1))) for s in range(states)], axis=1)
+        named = mix(words.astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))
+        drawn = np.stack([mix(named + np.uint64(977 * (s + 1))) for s in range(states)], axis=1)
     share = -np.log((drawn >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54)
     return share / share.sum(axis=1, keepdims=True)
 
 
-INDEX = "bucket long, block long, at int, word binary, seen binary, n binary, words long, tokens long, mass array<double>"
+INDEX = "bucket long, block long, at int, word binary, seen binary, words long, tokens long, mass array<double>"
 
 
 def _index(words: DataFrame, states: int) -> DataFrame:
-    """Per block and bucket: the words' numbers within the bucket, their training counts in the corpus and first expected counts."""
+    """Per block and bucket: the words' numbers within the bucket, and their training counts in the corpus."""
 
     def run(part: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(h, np.uint64).reshape(-1, 2) for h in part.column("hashes").to_pylist()]
-        own = np.concatenate([np.frombuffer(s, np.int64) for s in part.column("seen").to_pylist()])
+        own = np.concatenate([widened(s, "<i8")[0] for s in part.column("seen").to_pylist()])
         sizes, every = [len(h) for h in hashes], np.concatenate(hashes)
         order = np.lexsort((every[:, 1], every[:, 0]))
         new = np.concatenate([[True], (every[order][1:] != every[order][:-1]).any(axis=1)])
@@ -120,15 +159,14 @@ def _index(words: DataFrame, states: int) -> DataFrame:
         total = np.add.reduceat(own[order], begins)
         word = np.empty(len(every), np.int64)
         word[order] = np.cumsum(new) - 1
-        first = first_weights(every[order][begins, 0], states) * total[:, None]
+        first = first_weights(part.column("bucket")[0].as_py(), np.arange(len(total)), states) * total[:, None]
         cuts = np.cumsum(sizes)[:-1]
         pieces, rows = np.split(word, cuts), part.num_rows
         none = [0] * (rows - 1)
         return pa.table({
             "bucket": part.column("bucket"), "block": part.column("block"), "at": part.column("at"),
-            "word": pa.array([p.astype(np.uint32).tobytes() for p in pieces], pa.binary()),
-            "seen": pa.array([total[p].tobytes() for p in pieces], pa.binary()),
-            "n": pa.array([first[p].astype(np.float32).tobytes() for p in pieces], pa.binary()),
+            "word": pa.array([squeezed(p.astype(np.uint32)) for p in pieces], pa.binary()),
+            "seen": pa.array([squeezed(total[p]) for p in pieces], pa.binary()),
             "words": pa.array([int((total > 0).sum()), *none], pa.int64()), "tokens": pa.array([int(total.sum()), *none], pa.int64()),
             "mass": pa.array([first.sum(axis=0).tolist(), *[None] * (rows - 1)], pa.list_(pa.float64())),
         })
@@ -167,9 +205,8 @@ def forward_backward(emit: np.ndarray, tokens: np.ndarray, begins: np.ndarray, l
 
     Returns counts by word and state, transition counts, counts of the first states of texts, and the natural log-likelihood.
     """
-    states = len(p.mass)
-    ones = np.ones(states, emit.dtype)
-    by_word, step = np.zeros((len(emit), states)), np.zeros((states, states))
+    states, by_state = len(p.mass), np.ascontiguousarray(emit.T)
+    by_word, step = np.zeros((states, len(emit))), np.zeros((states, states))
     first, likelihood = np.zeros(states), 0.0
     move = p.step.astype(emit.dtype)
     order = np.argsort(-lengths, kind="stable")
@@ -178,35 +215,36 @@ def forward_backward(emit: np.ndarray, tokens: np.ndarray, begins: np.ndarray, l
         own, long, head = begins[part], lengths[part], heads[part]
         if not len(long):
             continue
+        # One row for each state and one column for each run that is still going on.
         live = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")
         words, alphas, scales, seen = [], [], [], []
         for t, n in enumerate(live.tolist()):
             word = tokens[own[:n] + t]
-            here = emit[word]
-            before = alphas[-1][:n] @ move if t else np.where(head[:, None], p.first, p.inner).astype(emit.dtype)
-            alpha = before * here
-            scale = alpha @ ones
-            alpha /= scale[:, None]
+            here = by_state.take(word, axis=1)
+            before = move.T @ alphas[-1][:, :n] if t else np.where(head, p.first[:, None], p.inner[:, None]).astype(emit.dtype)
+            alpha = np.multiply(before, here, out=before)
+            scale = alpha.sum(axis=0)
+            alpha /= scale
             words.append(word)
             seen.append(here)
             alphas.append(alpha)
             scales.append(scale)
-        likelihood += float(sum(np.log(s.astype(np.float64)).sum() for s in scales))
+        likelihood += float(np.log(np.concatenate(scales).astype(np.float64)).sum())
         beta = np.ones_like(alphas[-1])
         gammas = [None] * len(alphas)
         for t in range(len(alphas) - 1, -1, -1):
             gammas[t] = alphas[t] * beta
             if t:
-                ahead = beta * seen[t]
-                ahead /= scales[t][:, None]
-                step += alphas[t - 1][: len(ahead)].T @ ahead
+                ahead = np.multiply(beta, seen[t], out=beta)
+                ahead /= scales[t]
+                step += alphas[t - 1][:, : ahead.shape[1]] @ ahead.T
                 beta = np.ones_like(alphas[t - 1])
-                beta[: len(ahead)] = ahead @ move.T
-        first += gammas[0][head].sum(axis=0)
-        at, gamma = np.concatenate(words), np.concatenate(gammas)
+                beta[:, : ahead.shape[1]] = move @ ahead
+        first += gammas[0][:, head].sum(axis=1)
+        at, gamma = np.concatenate(words), np.concatenate(gammas, axis=1)
         for s in range(states):
-            by_word[:, s] += np.bincount(at, gamma[:, s], len(emit))
-    return by_word, step * p.step, first, likelihood
+            by_word[s] += np.bincount(at, gamma[s], len(emit))
+    return by_word.T, step * p.step, first, likelihood
 
 
 def runs_of(counts: np.ndarray, train: np.ndarray, size: int = RUN_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,55 +268,71 @@ def log_likelihoods(emit: np.ndarray, tokens: np.ndarray, counts: np.ndarray, p:
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] <= long]
     live = np.searchsorted(-counts[order], -np.arange(1, (counts[order][0] if len(order) else 0) + 1), side="right")
-    alpha, total = None, np.zeros(len(order))
+    alpha, total, by_state = None, np.zeros(len(order)), np.ascontiguousarray(emit.T)
+    first = begins[order]
     for t, n in enumerate(live.tolist()):
-        alpha = (alpha[:n] @ p.step if t else np.broadcast_to(p.first, (n, len(p.mass)))) * emit[tokens[begins[order[:n]] + t]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
+        before = p.step.T @ alpha[:, :n] if t else np.tile(p.first[:, None], n)
+        alpha = np.multiply(before, by_state.take(tokens[first[:n] + t], axis=1), out=before)
+        scale = alpha.sum(axis=0)
+        alpha /= scale
         total[:n] += np.log10(scale)
     out[order] = total
-    for text in np.flatnonzero(counts > long).tolist():
-        out[text] = _long_likelihood(emit, tokens[begins[text] : begins[text] + counts[text]], p, piece)
+    _add_long(out, emit, tokens, begins, counts, np.flatnonzero(counts > long), p, piece)
     return out
 
 
-def _long_likelihood(emit: np.ndarray, tokens: np.ndarray, p: Parameters, piece: int) -> float:
+def _add_long(out: np.ndarray, emit: np.ndarray, tokens: np.ndarray, begins: np.ndarray, counts: np.ndarray, texts: np.ndarray, p: Parameters, piece: int) -> None:
+    """Score long texts: the matrices of all their pieces side by side, then each text's product of them."""
     states = len(p.mass)
-    alpha = p.first * emit[tokens[0]]
-    total = float(np.log10(alpha.sum()))
-    alpha /= alpha.sum()
-    rest = tokens[1:]
-    whole = len(rest) // piece * piece
-    grid = rest[:whole].reshape(-1, piece)
-    for rows in np.array_split(grid, max(1, whole // HELD_TOKENS)):
-        matrix = np.broadcast_to(np.eye(states), (len(rows), states, states))
-        scales = np.zeros(len(rows))
-        for t in range(piece if len(rows) else 0):
-            matrix = (matrix @ p.step) * emit[rows[:, t]][:, None, :]
-            size = matrix.sum(axis=(1, 2))
-            matrix /= size[:, None, None]
-            scales += np.log10(size)
-        for m, s in zip(matrix, scales):
-            alpha = alpha @ m
-            total += float(s + np.log10(alpha.sum()))
-            alpha /= alpha.sum()
-    for token in rest[whole:]:
-        alpha = (alpha @ p.step) * emit[token]
-        total += float(np.log10(alpha.sum()))
-        alpha /= alpha.sum()
-    return total
+    pieces = -(-(counts[texts] - 1) // piece)
+    number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    owner = np.repeat(np.arange(len(texts)), pieces)
+    first = begins[texts][owner] + 1 + number * piece
+    lengths = np.minimum(piece, (begins + counts)[texts][owner] - first)
+    alpha, total = np.zeros((len(texts), states)), np.zeros(len(texts))
+    for i, text in enumerate(texts.tolist()):
+        start_of = p.first * emit[tokens[begins[text]]]
+        alpha[i], total[i] = start_of / start_of.sum(), np.log10(start_of.sum())
+    for part in np.array_split(np.arange(len(owner)), max(1, -(-len(owner) * piece // HELD_TOKENS))):
+        order = part[np.argsort(-lengths[part], kind="stable")]
+        live = np.searchsorted(-lengths[order], -np.arange(1, (lengths[order][0] if len(order) else 0) + 1), side="right")
+        matrix, scales = np.tile(np.eye(states), (len(order), 1, 1)), np.zeros(len(order))
+        for t, n in enumerate(live.tolist()):
+            moved = (matrix[:n].reshape(-1, states) @ p.step).reshape(n, states, states) * emit[tokens[first[order[:n]] + t]][:, None, :]
+            size = moved.reshape(n, -1).sum(axis=1)
+            matrix[:n] = moved / size[:, None, None]
+            scales[:n] += np.log10(size)
+        for i in np.argsort(order).tolist():
+            own = owner[order[i]]
+            ahead = alpha[own] @ matrix[i]
+            alpha[own] = ahead / ahead.sum()
+            total[own] += scales[i] + np.log10(ahead.sum())
+    out[texts] = total
 
 
 def _texts_of(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, token counts, training flags, word numbers and the places of the numbered words."""
     keys, counts = np.frombuffer(block["keys"], np.int64), np.frombuffer(block["counts"], np.int64)
-    tokens = np.frombuffer(block["low"], np.uint16).astype(np.int32)
-    tokens[tokens == 65_535] = np.frombuffer(block["rare"], np.uint32)
-    return keys, counts, np.frombuffer(block["train"], bool), tokens, np.frombuffer(block["place"], np.uint32)
+    tokens = widened(block["low"], "<u2")[0].astype(np.int32)
+    tokens[tokens == 65_535] = widened(block["rare"], "<u4")[0]
+    order = np.argsort(widened(block["homes"], "<u4")[0], kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys, counts, np.frombuffer(block["train"], bool), tokens, place
 
 
-def _gathered(rows: Iterable[dict], column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(r[column] for r in sorted(rows, key=lambda r: r["at"])), kind)
+def _first_counts(index: DataFrame, states: int) -> DataFrame:
+    """The expected counts that training begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [
+                packed_counts(first_weights(bucket, widened(word, "<u4")[0], states) * widened(seen, "<i8")[0][:, None])
+                for bucket, word, seen in zip(*(batch.column(c).to_pylist() for c in ("bucket", "word", "seen")))
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "block", "at")), pa.array(n, pa.binary())], names=COUNT_SCHEMA.names)
+
+    return index.select("bucket", "block", "at", "word", "seen").mapInArrow(run, COUNTS)
 
 
 COUNTS = "bucket long, block long, at int, n binary"
@@ -290,17 +344,16 @@ def _expect(p: Parameters):
     states = len(p.mass)
 
     def run(blocks: pa.Table, dealt: pa.Table) -> pa.Table:
-        out, rows = [], dealt.to_pylist()
+        out, rows = [], sorted(dealt.to_pylist(), key=lambda r: r["at"])
         for block in blocks.to_pylist():
             _, counts, train, tokens, place = _texts_of(block)
-            n = _gathered(rows, "n", np.float32).reshape(-1, states)[place]
+            n = np.concatenate([unpacked_counts(r["n"], states) for r in rows])[place]
             emit = p.emissions(n, n.sum(axis=1)).astype(np.float32)
             by_word, step, first, likelihood = forward_backward(emit, tokens, *runs_of(counts, train), p)
-            placed = np.empty((len(place), states), np.float32)
+            placed = np.empty((len(place), states))
             placed[place] = by_word
-            for r in rows:
-                end = r["at"] + len(r["n"]) // (4 * states)
-                out.append((r["bucket"], block["block"], r["at"], placed[r["at"] : end].tobytes()))
+            for r, end in zip(rows, [*[r["at"] for r in rows[1:]], len(place)]):
+                out.append((r["bucket"], block["block"], r["at"], packed_counts(placed[r["at"] : end])))
             stats = np.concatenate([step.ravel(), first, by_word.sum(axis=0), [likelihood]])
             out.append((-1 - block["block"] % STATS, block["block"], 0, stats.tobytes()))
         return pa.table([pa.array([o[i] for o in out], f.type) for i, f in enumerate(COUNT_SCHEMA)], schema=COUNT_SCHEMA)
@@ -316,11 +369,11 @@ def _add(states: int):
         if not index.num_rows:
             total = np.sum([np.frombuffer(r["n"], np.float64) for r in rows], axis=0)
             return pa.table([[rows[0]["bucket"]], [-1], pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=COUNT_SCHEMA)
-        words = {b: np.frombuffer(w, np.uint32) for b, w in zip(index.column("block").to_pylist(), index.column("word").to_pylist())}
+        words = {b: widened(w, "<u4")[0] for b, w in zip(index.column("block").to_pylist(), index.column("word").to_pylist())}
         total = np.zeros((1 + max(int(w.max()) for w in words.values()), states))
         for r in rows:
-            total[words[r["block"]]] += np.frombuffer(r["n"], np.float32).reshape(-1, states)
-        sent = [total[words[r["block"]]].astype(np.float32).tobytes() for r in rows]
+            total[words[r["block"]]] += unpacked_counts(r["n"], states)
+        sent = [packed_counts(total[words[r["block"]]]) for r in rows]
         columns = [[r["bucket"] for r in rows], [r["block"] for r in rows], pa.array([r["at"] for r in rows], pa.int32()), pa.array(sent, pa.binary())]
         return pa.table(columns, schema=COUNT_SCHEMA)
 
@@ -341,16 +394,19 @@ class Model:
 def fit(rows: DataFrame, work: Workspace, states: int = STATES, iterations: int = ITERATIONS, block_bytes: int = BLOCK_BYTES) -> Model:
     """Code ``rows`` (``key, text, train``) and train on those with ``train``; every training token counts in every iteration."""
     spark = rows.sparkSession
-    buckets = bucket_count(rows, BUCKET_BYTES)
+    buckets = bucket_count(rows, BUCKET_BYTES, LEAST_BUCKETS)
     path = f"{work.folder}/coded"
     _blocks(rows, buckets, block_bytes).write.partitionBy("kind").parquet(path)
-    coded = spark.read.schema(BLOCKS).parquet(path)
-    blocks = coded.where("kind = 0").select("block", "keys", "counts", "train", "low", "rare", "place")
-    words = coded.where("kind = 1").select("bucket", "block", "at", "hashes", "seen")
-    index = work.keep(_index(words, states))
+    read = lambda kind, *columns: spark.read.schema(BLOCKS).parquet(f"{path}/kind={kind}").select(*columns)
+    if rows.isEmpty():
+        nothing = spark.createDataFrame([], BLOCKS)
+        read = lambda kind, *columns: nothing.select(*columns)
+    blocks = read(0, "block", "keys", "counts", "train", "low", "rare", "homes")
+    index = work.keep(_index(read(1, "bucket", "block", "at", "hashes", "seen"), states))
+    work.drop("coded/kind=1")
     sums = index.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"), *[F.sum(F.col("mass")[s]).alias(f"m{s}") for s in range(states)]).first()
     p = start(states, np.array([sums[f"m{s}"] or 0.0 for s in range(states)]), sums["tokens"] or 0, sums["words"] or 0)
-    dealt, likelihoods = index.select("bucket", "block", "at", "n"), []
+    dealt, likelihoods = _first_counts(index, states), []
     numbers = index.select("bucket", "block", "word")
     for _ in range(iterations):
         counts = blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_expect(p), COUNTS)
@@ -363,6 +419,8 @@ def fit(rows: DataFrame, work: Workspace, states: int = STATES, iterations: int
         likelihoods.append(float(total[-1]))
         p = Parameters(first / first.sum(), (mass + 1) / (mass + 1).sum(), step / step.sum(axis=1, keepdims=True), mass, p.tokens, p.words)
         dealt = new.where("bucket >= 0")
+        if len(likelihoods) > 1:
+            work.drop(str(work.number - 1))
         release(spark)
     return Model(p, blocks, index, dealt, likelihoods)
 
@@ -376,15 +434,15 @@ def scored(model: Model) -> DataFrame:
     states = len(p.mass)
 
     def run(blocks: pa.Table, dealt: pa.Table) -> pa.Table:
-        rows, out = dealt.to_pylist(), []
+        rows, out = sorted(dealt.to_pylist(), key=lambda r: r["at"]), []
         for block in blocks.to_pylist():
             keys, counts, _, tokens, place = _texts_of(block)
-            n = _gathered([r for r in rows if r["n"] is not None], "n", np.float32).reshape(-1, states)[place]
-            seen = _gathered([r for r in rows if r["seen"] is not None], "seen", np.int64)[place]
+            n = np.concatenate([unpacked_counts(r["n"], states) for r in rows if r["n"] is not None])[place]
+            seen = np.concatenate([widened(r["seen"], "<i8")[0] for r in rows if r["seen"] is not None])[place]
             first = np.cumsum(counts) - counts
             known = np.add.reduceat((seen > 0)[tokens].astype(np.int64), first)
             base = np.add.reduceat(np.log10(p.base(seen))[tokens], first)
-            score = log_likelihoods(p.emissions(n.astype(np.float64), seen), tokens, counts, p)
+            score = log_likelihoods(p.emissions(n, seen), tokens, counts, p)
             out.append(pa.table({
                 "key": keys, "n_tokens": counts, "n_known": known, "train_tokens": np.full(len(keys), p.tokens, np.int64),
                 "base_score": base, "score": score,
