@@ -30,7 +30,7 @@ BLOCK_BYTES = 16_000_000
 BUCKET_BYTES, LEAST_BUCKETS = 64_000_000, 256
 # Training texts are cut into runs of so many tokens; a task holds the recursion of so many tokens at once.
 RUN_TOKENS = 128
-HELD_TOKENS = 400_000
+HELD_TOKENS = 150_000
 # Longer texts are scored in pieces whose transfer matrices are multiplied up.
 LONG_TOKENS, PIECE_TOKENS = 32_768, 512
 END = b""  # no word is empty
@@ -192,7 +192,9 @@ class Parameters:
     def emissions(self, n: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """P(word | state) for rows of expected counts: each state's counts, and as many of the base as there are words for a state."""
         weight = (self.words + 1.0) / len(self.mass)
-        return (n + weight * self.base(seen)[:, None]) / (self.mass + weight)
+        out = n + weight * self.base(seen)[:, None]
+        out /= self.mass + weight
+        return out
 
 
 def start(states: int, mass: np.ndarray, tokens: int, words: int) -> Parameters:
@@ -241,6 +243,7 @@ def forward_backward(emit: np.ndarray, tokens: np.ndarray, begins: np.ndarray, l
                 beta = np.ones_like(alphas[t - 1])
                 beta[:, : ahead.shape[1]] = move @ ahead
         first += gammas[0][:, head].sum(axis=1)
+        del alphas, seen, scales
         at, gamma = np.concatenate(words), np.concatenate(gammas, axis=1)
         for s in range(states):
             by_word[s] += np.bincount(at, gamma[s], len(emit))
@@ -349,6 +352,7 @@ def _expect(p: Parameters):
             _, counts, train, tokens, place = _texts_of(block)
             n = np.concatenate([unpacked_counts(r["n"], states) for r in rows])[place]
             emit = p.emissions(n, n.sum(axis=1)).astype(np.float32)
+            del n
             by_word, step, first, likelihood = forward_backward(emit, tokens, *runs_of(counts, train), p)
             placed = np.empty((len(place), states))
             placed[place] = by_word
