@@ -3,6 +3,7 @@
 from leafspan.catalog.base import query, table
 from leafspan.functions import text as T
 from leafspan.functions.text import CONNECTORS, WHITESPACE
+from leafspan.models.base import OutlineJudge
 from leafspan.operators import blocks, outline
 from leafspan.operators.scan import segment_rows
 from leafspan.sources.corpus import blocks_from_documents
@@ -196,6 +197,25 @@ def outline_parents(spark, sf):
     return outline.parents_by_level(outline.titles(numbered(spark, sf)), segment_length(spark, sf)).select("doc_id", "pdf_id", "text_level", "parent_id")
 
 
+@query(
+    "outline_judged",
+    f"""WITH {OUTLINE},
+told AS (
+  SELECT p.* FROM parented p JOIN heads h ON h.doc_id = p.doc_id AND h.pdf_id = p.pdf_id
+  WHERE len(list_filter(regexp_split_to_array(h.text, '{WHITESPACE}+'), lambda x: x <> '')) > 2),
+firsts AS (
+  SELECT doc_id, min(pdf_id) AS first_id, min(CASE WHEN text_level = 0 THEN pdf_id END) AS top_id FROM told GROUP BY doc_id),
+placed AS (
+  SELECT t.doc_id, t.pdf_id, CASE WHEN top_id IS NULL AND t.pdf_id = first_id THEN 0 ELSE text_level END AS text_level, parent_id, coalesce(top_id, first_id) AS top
+  FROM told t JOIN firsts f ON f.doc_id = t.doc_id)
+SELECT doc_id, pdf_id, text_level, CASE WHEN text_level <> 0 AND parent_id = 0 THEN top ELSE parent_id END AS parent_id FROM placed""",
+)
+def outline_judged(spark, sf):
+    rows = segment_length(spark, sf)
+    found = outline.parents_by_level(outline.titles(numbered(spark, sf)), rows).select("doc_id", "pdf_id", "text", "text_level", "parent_id")
+    return outline.judge_in_rounds(found, OutlineJudge(), rows=rows).select("doc_id", "pdf_id", "text_level", "parent_id")
+
+
 @query("outline_repair", f"WITH {OUTLINE} SELECT doc_id, pdf_id, text_level, parent_id FROM outline")
 def outline_repair(spark, sf):
     return outline_of(numbered(spark, sf), segment_length(spark, sf)).drop("text")

@@ -62,9 +62,10 @@ def entity_merge(spark, sf):
 
 @query(
     "entity_descriptions",
-    f"""WITH {MENTIONS}
-SELECT doc_id, entity_name, entity_type, 0 AS part, string_agg(description, '<SEP>' ORDER BY node_id, seq) AS description
-FROM mentions GROUP BY doc_id, entity_name, entity_type""",
+    f"""WITH {MENTIONS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_name, entity_type ORDER BY node_id, seq) AS nth FROM mentions)
+SELECT doc_id, entity_name, entity_type, CAST((nth - 1) // 1000 AS INTEGER) AS part, string_agg(description, '<SEP>' ORDER BY nth) AS description
+FROM placed GROUP BY ALL""",
 )
 def entity_descriptions(spark, sf):
     return entities.entity_descriptions(mentions(spark, sf), segment_length(spark, sf))

@@ -2,8 +2,12 @@
 
 from leafspan.catalog.base import query, table
 from leafspan.catalog.tree import TREE, nodes_of
+from leafspan.functions.text import WHITESPACE
+from leafspan.models.base import NameExtractor
 from leafspan.operators import graph
 from leafspan.operators.ranking import top_k
+from leafspan.plans import strategies
+from leafspan.session import cut_lineage
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -213,6 +217,35 @@ def section_split(spark, sf):
     return found.withColumn("linked", F.lit(True)).unionByName(rest.withColumn("linked", F.lit(False)))
 
 
+def words_of(column):
+    return f"list_filter(regexp_split_to_array(lower({column}), '{WHITESPACE}+'), lambda x: x <> '')"
+
+
+@query(
+    "section_selection",
+    f"""WITH RECURSIVE {NODE_BRIDGE},
+last_titles AS (SELECT doc_id, arg_max(content, index_id) AS question FROM nodes WHERE node_type = 'title' GROUP BY doc_id),
+asked_names AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(question, '[A-Z][a-z]{{3,}}'))) AS node_name FROM last_titles),
+reached_sections AS (
+  SELECT DISTINCT n.doc_id, n.path[2] AS section_id FROM asked_names m JOIN bridge b ON b.doc_id = m.doc_id AND b.node_name = m.node_name
+  JOIN nodes n ON n.doc_id = b.doc_id AND n.index_id = b.index_id WHERE n.path[2] IS NOT NULL),
+offered_sections AS (
+  SELECT n.doc_id, n.index_id AS section_id, n.content AS title FROM nodes n ANTI JOIN reached_sections l ON l.doc_id = n.doc_id AND l.section_id = n.index_id WHERE n.depth = 2)
+SELECT doc_id, section_id, TRUE AS linked FROM reached_sections UNION ALL
+SELECT o.doc_id, o.section_id, FALSE FROM offered_sections o JOIN last_titles h ON h.doc_id = o.doc_id
+WHERE len(list_intersect({words_of("h.question")}, {words_of("coalesce(o.title, '')")})) > 0""",
+)
+def section_selection(spark, sf):
+    """The last title of every document asks; its names are the mapped entities."""
+    nodes = cut_lineage(nodes_of(spark, sf))
+    bridge = tree_bridge(nodes)
+    last = nodes.filter("type = 'title'").groupBy("doc_id").agg(F.max_by("content", "index_id").alias("question"))
+    asked = cut_lineage(last.select(F.col("doc_id").cast("string").alias("qid"), "doc_id", "question"))
+    named = asked.select("qid", "doc_id", F.explode(NameExtractor().names(F.col("question"))).alias("node_name"))
+    index = strategies.Index(nodes, bridge.select("doc_id", "node_name").distinct(), bridge.limit(0), bridge)
+    return strategies.select_sections(asked, named, index, strategies.Models(), 2).select("doc_id", "section_id", "linked")
+
+
 @query(
     "start_weights",
     f"""WITH {RANK_GRAPH},

@@ -139,6 +139,29 @@ class PairJudge:
         return F.to_json(F.struct(F.transform(pairs, judgment).alias("judgments")))
 
 
+class OutlineJudge:
+    """Leaves titles as they are and takes those of at most two words for no titles."""
+
+    TITLES = "struct<titles:array<struct<pdf_id:int,text:string,level:int,parent_id:int>>>"
+
+    def complete(self, prompt: Column) -> Column:
+        titles = F.from_json(F.substring_index(prompt, "Titles:\n", -1), self.TITLES)["titles"]
+        level = lambda t: F.when(T.word_count(F.coalesce(t["text"], F.lit(""))) <= 2, -1).otherwise(t["level"])
+        judged = F.transform(titles, lambda t: F.struct(t["pdf_id"].alias("pdf_id"), level(t).alias("level"), t["parent_id"].alias("parent_id")))
+        return F.to_json(F.struct(judged.alias("outline")))
+
+
+class SectionChooser:
+    """Chooses the offered sections whose title shares a word with the question."""
+
+    INPUT = "struct<question:string,remaining:array<struct<section_id:long,title:string>>>"
+
+    def complete(self, prompt: Column) -> Column:
+        given = F.from_json(F.substring_index(prompt, "Input:\n", -1), self.INPUT)
+        fits = F.filter(given["remaining"], lambda s: F.arrays_overlap(T.terms(given["question"]), T.terms(s["title"])))
+        return F.to_json(F.struct(F.transform(fits, lambda s: s["section_id"]).alias("supplementary_ids")))
+
+
 class NameExtractor:
     """Capitalised words stand in for the entities a language model would name."""
 

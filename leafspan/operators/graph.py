@@ -135,7 +135,8 @@ def pagerank(
     the start weights.
 
     Each iteration is two aggregations that combine before the shuffle, and its result is checkpointed. The out-edges
-    of a hub are split over salts in proportion to its degree.
+    of a hub are split over salts in proportion to its degree. Edges are dealt out by their source once and kept there; an
+    iteration moves ranks only.
     """
     both = edges.select("doc_id", F.col("src").alias("u"), F.col("tgt").alias("v"), "weight").unionByName(
         edges.select("doc_id", F.col("tgt").alias("u"), F.col("src").alias("v"), "weight")
@@ -159,14 +160,24 @@ def pagerank(
             F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"),
         )
     )
+    shares = placed_edges(shares).persist()
     state = cut_lineage(state)
-    for _ in range(max_iterations + 1):
-        state = cut_lineage(_rank_step(state, shares, alpha, tolerance))
-        if state.filter(~F.col("done")).isEmpty():
-            return state.select("doc_id", "node_name", "rank")
+    try:
+        for _ in range(max_iterations + 1):
+            state = cut_lineage(_rank_step(state, shares, alpha, tolerance))
+            if state.filter(~F.col("done")).isEmpty():
+                return state.select("doc_id", "node_name", "rank")
+    finally:
+        shares.unpersist()
     raise RuntimeError(f"rank iteration did not converge within {max_iterations} iterations")
 
 
+def placed_edges(shares: DataFrame) -> DataFrame:
+    """Edges in a fixed number of partitions by document, source and salt, which the joins of all iterations ask for."""
+    partitions = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shares.repartition(partitions, "doc_id", "u", "salt")
+
+
 def _rank_step(state: DataFrame, shares: DataFrame, alpha: float, tolerance: float) -> DataFrame:
     """One iteration; a document whose last change was small enough keeps its ranks and is done."""
     active = state.filter(~F.col("done"))

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspan.operators.scan import ROWS_PER_SEGMENT, Running, position_segment, prefix_scan
+from leafspan.functions import text as T
+from leafspan.functions.replies import parsed
+from leafspan.models.base import Generator
+from leafspan.operators.scan import ROWS_PER_SEGMENT, Running, dense_number, position_segment, prefix_scan
+from leafspan.session import cut_lineage
+
+# Words and titles of one judgement.
+BATCH_WORDS = 2_000
+BATCH_TITLES = 51
+OUTLINE_TASK = "Give the level and the parent of every title as outline. Level -1 is no title.\nTitles:\n"
 
 
 def effective_height(bbox: Column, text: Column) -> Column:
@@ -130,3 +139,55 @@ def chunk_context(outline: DataFrame) -> DataFrame:
     for part in parts[1:]:
         union = union.unionByName(part)
     return union.select("doc_id", "pdf_id", "text_level").distinct()
+
+
+def judge_in_rounds(
+    titles_: DataFrame, generator: Generator, words: int = BATCH_WORDS, most: int = BATCH_TITLES, rows: int | None = ROWS_PER_SEGMENT
+) -> DataFrame:
+    """The outline ``(doc_id, pdf_id, text, text_level, parent_id, ...)`` as a model judges it, batch by batch.
+
+    Every round judges the next batch of every document that has titles left: at most ``most`` titles, which together with the
+    context from the outline so far hold at most ``words`` words, each title counting one more. A title that does not fit by
+    itself is left out. Of a reply only titles of the batch count, and level -1 drops one; where the reply is no such object,
+    the batch keeps the levels and parents it had. The outline is repaired after each round, as context for the next.
+    """
+    numbered = dense_number(titles_, ["doc_id"], "pdf_id", "__nth", rows)
+    waiting = cut_lineage(numbered.withColumn("__words", T.word_count(F.coalesce("text", F.lit(""))) + 1))
+    columns = titles_.columns
+    done = waiting.select("doc_id").distinct().withColumn("__done", F.lit(0))
+    outline = cut_lineage(waiting.select(*columns).limit(0))
+    while not waiting.isEmpty():
+        context = chunk_context(outline).select("doc_id", "pdf_id").join(outline, ["doc_id", "pdf_id"])
+        shown = context.groupBy("doc_id").agg(
+            F.sum(T.word_count(F.coalesce("text", F.lit(""))) + 1).alias("__shown"), _listed().alias("__context")
+        )
+        # Only the next few titles of a document can be in its batch, which bounds the window.
+        near = waiting.join(done, "doc_id").filter(F.col("__nth") <= F.col("__done") + most).join(shown, "doc_id", "left")
+        running = F.sum("__words").over(Window.partitionBy("doc_id").orderBy("__nth")) + F.coalesce("__shown", F.lit(0))
+        near = cut_lineage(near.withColumn("__fits", running <= words))
+        batch = near.filter("__fits")
+        asked = batch.groupBy("doc_id").agg(_listed().alias("__new"), F.max("__nth").alias("__last"), F.first("__context").alias("__context"))
+        payload = F.to_json(F.struct(F.coalesce("__context", F.array().cast(LISTED)).alias("context"), F.col("__new").alias("titles")))
+        reply = parsed(generator.complete(F.concat(F.lit(OUTLINE_TASK), payload)), "outline array<struct<pdf_id:int,level:int,parent_id:int>>")
+        told = cut_lineage(asked.select("doc_id", "__last", reply["outline"].alias("__told")))
+        judged = told.select("doc_id", F.explode("__told").alias("j")).select("doc_id", "j.*").filter("pdf_id IS NOT NULL")
+        judged = judged.groupBy("doc_id", "pdf_id").agg(F.first("level").alias("level"), F.first("parent_id").alias("parent_id"))
+        judged = judged.select("doc_id", "pdf_id", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+        silent = told.filter(F.coalesce(F.size("__told"), F.lit(0)) <= 0).select("doc_id")
+        new = apply_judgement(batch.select(*columns), judged).select(*columns)
+        kept = batch.select(*columns).join(silent, "doc_id", "left_semi")
+        outline = cut_lineage(repair(outline.unionByName(new).unionByName(kept)).select(*columns))
+        # A document whose next title does not fit goes past it.
+        done = cut_lineage(
+            done.join(told.select("doc_id", "__last"), "doc_id", "left")
+            .select("doc_id", F.coalesce("__last", F.col("__done") + 1).cast("int").alias("__done"))
+        )
+        waiting = cut_lineage(waiting.join(done, "doc_id").filter(F.col("__nth") > F.col("__done")).drop("__done"))
+    return outline
+
+
+LISTED = "array<struct<pdf_id:int,text:string,level:int,parent_id:int>>"
+
+
+def _listed() -> Column:
+    return F.array_sort(F.collect_list(F.struct("pdf_id", "text", F.col("text_level").alias("level"), "parent_id")))

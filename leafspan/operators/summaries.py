@@ -7,11 +7,14 @@ import math
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafspan.functions import text as T
+from leafspan.functions.chunks import chunks
 from leafspan.models.base import Embedder, Generator
+from leafspan.operators.mixtures import grouped_clusters
+from leafspan.operators.scan import Running, dense_number, position_segment, prefix_scan
 from leafspan.session import cut_lineage
 
 # Limits of the clustering and of the recursion.
@@ -94,25 +97,73 @@ def summary_levels(
     return everything
 
 
-def tree_summaries(nodes: DataFrame, generator: Generator, words: int = 400) -> DataFrame:
-    """Add ``summary`` level by level from the leaves up; a title is summarised from its children's summaries.
+def reduce_in_order(texts: DataFrame, keys: list[str], generator: Generator, per_part: int = 64, rows: int | None = None) -> DataFrame:
+    """One summary ``(*keys, text)`` per group of ``(*keys, nth, text)``.
 
-    One job per depth. The children of a title are joined in parts of bounded size and reduced like clusters.
+    Runs of ``per_part`` texts are summarised in the order of ``nth``, then the summaries in the same order, until one is left.
     """
-    key = lambda node: F.to_json(F.struct("doc_id", F.col(node).alias("node")))
+    state = texts.select(*keys, "nth", "text")
+    while True:
+        numbered = dense_number(state, keys, "nth", "place", rows)
+        ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
+        grouped = numbered.groupBy(*keys, F.floor((F.col("place") - 1) / per_part).alias("nth")).agg(
+            F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("joined")
+        )
+        summary = T.truncate_words(generator.complete(F.concat(F.lit("Summarise.\nEvidence:\n"), F.col("joined"))), SUMMARY_WORDS)
+        state = cut_lineage(grouped.select(*keys, "nth", summary.alias("text")))
+        if (state.agg(F.max("nth")).first()[0] or 0) == 0:
+            return state.drop("nth")
+
+
+def document_levels(chunks: DataFrame, embedder: Embedder, generator: Generator, levels: int = MAX_LEVELS, rows: int | None = None) -> DataFrame:
+    """``(doc_id, depth, nth, source, text)``: each document's chunks ``(doc_id, nth, text)`` and the summaries above them.
+
+    Documents are clustered and summarised on their own, all in the same rounds; one whose layer holds at most five texts is
+    done. Summaries are numbered in the order of the first text that they cover.
+    """
+    layer = cut_lineage(chunks.select("doc_id", F.col("nth").cast("long").alias("nth"), "text"))
+    everything = layer.select("doc_id", F.lit(0).alias("depth"), "nth", F.lit("document").alias("source"), "text")
+    for depth in range(1, levels + 1):
+        open_ = layer.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL_LAYER)
+        layer = cut_lineage(layer.join(open_.select("doc_id"), "doc_id", "left_semi"))
+        if layer.isEmpty():
+            break
+        embedded = layer.select("doc_id", "nth", embedder.embed(F.col("text")).alias("embedding"))
+        members = cut_lineage(grouped_clusters(embedded, "doc_id", "nth", "embedding"))
+        told = reduce_in_order(members.join(layer, ["doc_id", "nth"]), ["doc_id", "cluster"], generator, rows=rows)
+        first = members.groupBy("doc_id", "cluster").agg(F.min("nth").alias("first"))
+        order = Window.partitionBy("doc_id").orderBy("first", "cluster")
+        placed = first.select("doc_id", "cluster", F.row_number().over(order).cast("long").alias("nth"))
+        layer = cut_lineage(told.join(placed, ["doc_id", "cluster"]).select("doc_id", "nth", "text"))
+        everything = everything.unionByName(
+            layer.select("doc_id", F.lit(depth).alias("depth"), "nth", F.lit(f"depth_{depth}").alias("source"), "text")
+        )
+    return everything
+
+
+def tree_summaries(nodes: DataFrame, generator: Generator, words: int = 400, per_part: int = 8, rows: int | None = None) -> DataFrame:
+    """Add ``summary`` level by level from the leaves up; a title is summarised from its text and its children's summaries.
+
+    One round per depth; nodes outside the tree (depth 0 or none) are summarised from their own text. A child without a summary
+    stands in with its text. Texts are cut into chunks of ``words`` words, and ``per_part`` chunks or summaries at a time are
+    reduced in order until one is left, so nothing is left out of a long text.
+    """
+    placed = nodes.withColumn("__depth", F.coalesce("depth", F.lit(0)))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    keys = ["doc_id", "index_id"]
     below, told = None, None
-    for depth in range(deepest, 0, -1):
-        body = nodes.filter(F.col("depth") == depth).select("doc_id", "index_id", "parent_id", F.col("content").alias("text"))
+    for depth in range(deepest, -1, -1):
+        own = cut_lineage(placed.filter(F.col("__depth") == depth).select(*keys, "parent_id", F.coalesce("content", F.lit("")).alias("content")))
+        texts = own.select(*keys, F.lit(-1).cast("long").alias("child"), F.col("content").alias("text"))
         if below is not None:
-            place = F.concat_ws(":", "cluster", F.lpad(F.col("index_id").cast("string"), 9, "0")).alias("place")
-            texts = below.filter("summary <> ''").select(key("parent_id").alias("cluster"), "index_id", F.col("summary").alias("text"))
-            texts = texts.select("cluster", place, "text")
-            joined = summarise_clusters(texts.select("cluster", "place"), texts.select("place", "text"), "place", generator)
-            body = body.withColumn("cluster", key("index_id")).join(joined.withColumnRenamed("text", "children"), "cluster", "left")
-            body = body.withColumn("text", F.concat_ws("\n", "text", "children"))
-        summary = generator.complete(F.concat(F.lit("Summarise.\nEvidence:\n"), T.truncate_words(F.col("text"), words)))
-        below = cut_lineage(body.select("doc_id", "index_id", "parent_id", summary.alias("summary")))
-        level = below.select("doc_id", "index_id", "summary")
+            summary = F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(F.col("content"))
+            children = below.select("doc_id", F.col("parent_id").alias("index_id"), F.col("index_id").cast("long").alias("child"), summary.alias("text"))
+            texts = texts.unionByName(children.join(own.select(*keys), keys, "left_semi"))
+        cut = F.when(T.word_count(F.col("text")) > words, chunks(words)(F.col("text"))).otherwise(F.array("text"))
+        pieces = texts.select(*keys, "child", F.posexplode(cut).alias("at", "text"))
+        numbered = prefix_scan(pieces, keys, ["child", "at"], {"nth": Running("sum", F.lit(1))}, position_segment("child", rows))
+        made = reduce_in_order(numbered, keys, generator, per_part, rows).withColumnRenamed("text", "summary")
+        below = cut_lineage(own.join(made, keys))
+        level = below.select(*keys, "summary")
         told = level if told is None else told.unionByName(level)
-    return nodes.join(told, ["doc_id", "index_id"], "left") if told is not None else nodes.withColumn("summary", F.lit(""))
+    return nodes.join(told, keys, "left")

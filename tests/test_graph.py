@@ -106,3 +106,25 @@ def test_long_descriptions_stay_in_parts(spark):
     parts = sorted((r.part, r.description) for r in entities.entity_descriptions(df, rows=3, per_part=4).collect())
     assert [p for p, _ in parts] == [0, 1, 2]
     assert "<SEP>".join(d for _, d in parts) == "<SEP>".join(f"x{i}" for i in range(1, 12))
+
+
+def test_rank_steps_leave_the_edges_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shares = graph.placed_edges(spark.range(100).selectExpr("id % 3 as doc_id", "cast(id % 10 as string) as u", "cast(id as string) as v", "0.1D as share", "cast(id % 2 as int) as salt")).persist()
+        shares.count()
+        state = spark.range(30).selectExpr(
+            "id % 3 as doc_id", "cast(id as string) as node_name", "0.1D as start", "10L as n", "2 as salts", "0.1D as rank", "cast(null as double) as before", "false as done"
+        )
+        step = graph._rank_step(state, shares, 0.5, 1e-6)
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        lines = plan.splitlines()
+        at = next(i for i, line in enumerate(lines) if "InMemoryTableScan" in line or "TableCacheQueryStage" in line)
+        join = max(i for i in range(at) if "Join" in lines[i])
+        assert not any("Exchange" in line or "ShuffleQueryStage" in line for line in lines[join + 1 : at])
+        assert "InMemoryTableScan" in plan
+        shares.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
