@@ -202,7 +202,7 @@ def outline_parents(spark, sf):
     f"""WITH {OUTLINE},
 told AS (
   SELECT p.* FROM parented p JOIN heads h ON h.doc_id = p.doc_id AND h.pdf_id = p.pdf_id
-  WHERE len(list_filter(regexp_split_to_array(h.text, '{WHITESPACE}+'), lambda x: x <> '')) > 2),
+  WHERE len(list_filter(regexp_split_to_array(h.text, '{WHITESPACE}+'), lambda x: x <> '')) BETWEEN 3 AND 1999),
 firsts AS (
   SELECT doc_id, min(pdf_id) AS first_id, min(CASE WHEN text_level = 0 THEN pdf_id END) AS top_id FROM told GROUP BY doc_id),
 placed AS (
