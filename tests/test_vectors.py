@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from leafspan.operators import vectors
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,19 @@ def test_neighbours(data, scope, minimum):
     for r in sorted(found, key=lambda r: (r.q, r.rank)):
         ours[r.q].append(r.id)
     assert ours == brute(base, rows, 4, scope is not None, -2.0 if minimum is None else minimum)
+
+
+@pytest.mark.parametrize("block_rows", [4, 4_096])
+def test_each_query_has_its_own_list_length(spark, block_rows):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i:02d}", i % 2, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, doc_id int, v array<double>")
+    asked = df.select(F.col("id").alias("asked"), "doc_id", "v", (1 + F.substring("id", 2, 2).cast("int") % 7).alias("n"))
+    got = {}
+    for r in vectors.nearest(asked, df, "asked", "v", "id", "v", "n", scope="doc_id", exclude_same_id=True, block_rows=block_rows).collect():
+        got.setdefault(r.asked, {})[r.rank] = r.id
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows}
+    scope = {i: s for i, s, _ in rows}
+    for i in unit:
+        others = sorted((j for j in unit if j != i and scope[j] == scope[i]), key=lambda j: (-round(float(unit[i] @ unit[j]), 9), j))
+        assert [got[i][r] for r in sorted(got[i])] == others[: 1 + int(i[1:]) % 7]
