@@ -252,4 +252,4 @@ WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.doc_id = e.doc_id AND m.node_
 def entity_unknown(spark, sf):
     found = relations(spark, sf)
     ends = found.select("doc_id", "node_id", F.explode(F.array("src_entity_name", "tgt_entity_name")).alias("name"))
-    return entities.repair_endpoints(ends, mentions(spark, sf)).filter("is_new").select("doc_id", "node_id", "name")
+    return entities.unknown_endpoints(ends, mentions(spark, sf))

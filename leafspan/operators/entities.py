@@ -84,20 +84,9 @@ def deduplicate_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy(*keys).agg(F.min("seq").alias("seq"), first).select(*keys, "seq", *[F.col("first")[c].alias(c) for c in rest])
 
 
-def repair_endpoints(endpoints: DataFrame, entities: DataFrame) -> DataFrame:
-    """Map relation endpoints ``(doc_id, node_id, name)`` to entities of the same node.
-
-    Adds ``repaired_name`` and ``is_new``. An exact match wins; otherwise the entity at the smallest edit distance is
-    taken if the similarity ``1 - distance / longer length`` reaches 0.9; otherwise the name becomes a new UNKNOWN
-    entity. A similarity of 0.9 allows at most ``length / 9`` edits, so one of a few pieces of the entity name must
-    occur in the endpoint almost in place; the pieces are joined by equality and no pair table is built.
-    """
+def _close_pairs(missing: DataFrame, known: DataFrame) -> DataFrame:
+    """``(doc_id, node_id, name, candidate, distance)`` of all pairs within ``length / 9`` edits, among others."""
     keys = ["doc_id", "node_id"]
-    asked = endpoints.select(*keys, "name").distinct()
-    known = entities.select(*keys, F.col("entity_name").alias("candidate")).distinct()
-    exact = asked.join(known.withColumnRenamed("candidate", "name"), [*keys, "name"], "left_semi")
-    missing = asked.join(known.withColumnRenamed("candidate", "name"), [*keys, "name"], "left_anti")
-
     size = F.length("candidate")
     pieces = F.floor(size / 8).cast("int") + 1
     cut = lambda i: F.floor(F.col("size") * i / F.col("pieces")).cast("int")
@@ -117,11 +106,44 @@ def repair_endpoints(endpoints: DataFrame, entities: DataFrame) -> DataFrame:
         .filter((F.col("at") >= 1) & (F.col("at") <= F.length("name")))
         .withColumn("piece", F.substring(F.col("name"), F.col("at"), cut(F.col("i") + 1) - cut(F.col("i"))))
     )
-    close = (
+    return (
         probes.join(indexed.drop("pieces"), [*keys, "size", "i", "piece"])
         .select(*keys, "name", "candidate").distinct()
         .withColumn("distance", F.levenshtein("name", "candidate"))
-        .groupBy(*keys, "name").agg(F.min(F.struct("distance", "candidate")).alias("best"))
+    )
+
+
+def unknown_endpoints(endpoints: DataFrame, entities: DataFrame) -> DataFrame:
+    """Endpoints ``(doc_id, node_id, name)`` for which no entity of the node at the smallest edit distance is similar enough.
+
+    Of several entities at that distance the longest is the most similar, so it decides.
+    """
+    keys = ["doc_id", "node_id"]
+    known = entities.select(*keys, F.col("entity_name").alias("candidate")).distinct()
+    missing = endpoints.select(*keys, "name").distinct().join(known.withColumnRenamed("candidate", "name"), [*keys, "name"], "left_anti")
+    nearest = F.min(F.struct("distance", (-F.length("candidate")).alias("shorter"))).alias("best")
+    close = _close_pairs(missing, known).groupBy(*keys, "name").agg(nearest).filter(
+        1 - F.col("best.distance") / F.greatest(F.length("name"), -F.col("best.shorter")) >= MIN_ENDPOINT_SIMILARITY
+    )
+    return missing.join(close, [*keys, "name"], "left_anti")
+
+
+def repair_endpoints(endpoints: DataFrame, entities: DataFrame) -> DataFrame:
+    """Map relation endpoints ``(doc_id, node_id, name)`` to entities of the same node.
+
+    Adds ``repaired_name`` and ``is_new``. An exact match wins; otherwise the entity at the smallest edit distance is
+    taken if the similarity ``1 - distance / longer length`` reaches 0.9; otherwise the name becomes a new UNKNOWN
+    entity. A similarity of 0.9 allows at most ``length / 9`` edits, so one of a few pieces of the entity name must
+    occur in the endpoint almost in place; the pieces are joined by equality and no pair table is built.
+    """
+    keys = ["doc_id", "node_id"]
+    asked = endpoints.select(*keys, "name").distinct()
+    known = entities.select(*keys, F.col("entity_name").alias("candidate")).distinct()
+    exact = asked.join(known.withColumnRenamed("candidate", "name"), [*keys, "name"], "left_semi")
+    missing = asked.join(known.withColumnRenamed("candidate", "name"), [*keys, "name"], "left_anti")
+
+    close = (
+        _close_pairs(missing, known).groupBy(*keys, "name").agg(F.min(F.struct("distance", "candidate")).alias("best"))
         .filter(
             1 - F.col("best.distance") / F.greatest(F.length("name"), F.length("best.candidate")) >= MIN_ENDPOINT_SIMILARITY
         )

@@ -128,3 +128,12 @@ def test_rank_steps_leave_the_edges_where_they_are(spark):
         shares.unpersist()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_any_of_the_nearest_entities_makes_an_endpoint_known(spark):
+    have = [("d", 1, "abcdefgha"), ("d", 1, "abcdefghij"), ("d", 2, "abcdefgha")]
+    ends = [("d", 1, "abcdefghi"), ("d", 2, "abcdefghi"), ("d", 2, "abcdefgha"), ("e", 1, "abcdefghi")]
+    have = spark.createDataFrame(have, "doc_id string, node_id int, entity_name string")
+    ends = spark.createDataFrame(ends, "doc_id string, node_id int, name string")
+    found = sorted(tuple(r) for r in entities.unknown_endpoints(ends, have).collect())
+    assert found == [("d", 2, "abcdefghi"), ("e", 1, "abcdefghi")]
