@@ -33,7 +33,10 @@ def final_names(decisions: DataFrame) -> DataFrame:
     ))
     links = keyed.select("doc_id", F.col("old").alias("left"), F.explode(F.array("new", "merged")).alias("right"))
     roots = entities.clusters(links).select("doc_id", F.col("name").alias("old"), "root")
-    # Decisions that name one entity three times link nothing and change nothing.
+    # A key that decisions link with nothing but itself is a component of its own.
+    alone = links.filter(F.col("left") == F.col("right")).select("doc_id", F.col("left").alias("old")).distinct()
+    alone = alone.join(roots, ["doc_id", "old"], "left_anti")
+    roots = cut_lineage(roots.unionByName(alone.withColumn("root", F.col("old"))))
     named = keyed.join(roots, ["doc_id", "old"])
     last = F.max(F.struct("seq", "merged_name", "merged_type")).alias("last")
     told = named.groupBy("doc_id", "root").agg(last).select("doc_id", "root", F.col("last.merged_name").alias("entity_name"), F.col("last.merged_type").alias("entity_type"))

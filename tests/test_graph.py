@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from leafspan.operators import entities, graph
+from leafspan.operators import entities, graph, merging
 
 
 def rank_model(names, edges, weights, alpha=0.5):
@@ -137,3 +137,11 @@ def test_any_of_the_nearest_entities_makes_an_endpoint_known(spark):
     ends = spark.createDataFrame(ends, "doc_id string, node_id int, name string")
     found = sorted(tuple(r) for r in entities.unknown_endpoints(ends, have).collect())
     assert found == [("d", 2, "abcdefghi"), ("e", 1, "abcdefghi")]
+
+
+def test_decisions_that_name_one_entity_three_times_keep_its_name(spark):
+    rows = [("d", 8, "x", "T", "x", "T", "x", "T"), ("d", 15, "a", "T", "b", "T", "c", "T"), ("d", 22, "a", "T", "a", "T", "a", "T")]
+    columns = "doc_id string, seq int, old_name string, old_type string, new_name string, new_type string, merged_name string, merged_type string"
+    key = lambda n: f"Name: {n}\nType: T"
+    names = merging.final_names(spark.createDataFrame(rows, columns)).select("old_key", "new_key").collect()
+    assert sorted(map(tuple, names)) == [(key("a"), key("a")), (key("b"), key("a")), (key("c"), key("a")), (key("x"), key("x"))]
