@@ -54,3 +54,19 @@ def test_each_query_has_its_own_list_length(spark, block_rows):
     for i in unit:
         others = sorted((j for j in unit if j != i and scope[j] == scope[i]), key=lambda j: (-round(float(unit[i] @ unit[j]), 9), j))
         assert [got[i][r] for r in sorted(got[i])] == others[: 1 + int(i[1:]) % 7]
+
+
+def test_neighbours_are_searched_once_for_near_and_forced_matches(spark, monkeypatch):
+    searched = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(similarity):
+        searched.add(1)
+        return similarity
+
+    found = spark.createDataFrame([(1, 1, 7, 0.9), (2, 1, 8, 0.1), (3, 1, 9, 0.2)], "q int, rank int, v int, similarity double")
+    monkeypatch.setattr(vectors, "nearest", lambda *_, **__: found.withColumn("similarity", counted("similarity")))
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "q int, g string")
+    rows = vectors.nearest_within(asked, found, "q", "e", "v", "e", 0.3, group="g").collect()
+    assert sorted((r.q, r.v, r.forced) for r in rows) == [(1, 7, False), (3, 9, True)]
+    assert searched.value == 3
