@@ -242,7 +242,7 @@ def list_answers(spark, sf):
     ours = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("12 Units!"), F.upper("p_brand"))).otherwise(
         F.array(F.col("p_brand"), F.lit("13 units"))
     )
-    return table(spark, sf, "part").select("p_partkey", list_exact(ours, gold).alias("exact"), list_f1(ours, gold).alias("f1"))
+    return table(spark, sf, "part", spread=True).select("p_partkey", list_exact(ours, gold).alias("exact"), list_f1(ours, gold).alias("f1"))
 
 
 def part_table():
@@ -257,7 +257,7 @@ def part_table():
 
 
 def grids(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", tables.grid(part_table()).alias("grid"))
+    return table(spark, sf, "part", spread=True).select("p_partkey", tables.grid(part_table()).alias("grid"))
 
 
 @query(
@@ -279,7 +279,7 @@ def table_grid(spark, sf):
 def table_headers(spark, sf):
     n = tables.header_rows(F.col("grid"))
     count = tables.column_count(F.col("html"))
-    made = table(spark, sf, "part").select("p_partkey", part_table().alias("html"))
+    made = table(spark, sf, "part", spread=True).select("p_partkey", part_table().alias("html"))
     return made.withColumn("grid", tables.grid("html")).select(
         "p_partkey", n.alias("n_rows"), F.array_join(tables.headers(F.col("grid"), n), "; ").alias("headers"), count.alias("n_columns")
     )
@@ -296,7 +296,7 @@ BODY = """p_name || ' | ' || p_name || ' | ' || p_brand || chr(10) || p_type ||
   || 'Table Body:' || chr(10) || {BODY} AS text FROM part""",
 )
 def table_text(spark, sf):
-    made = table(spark, sf, "part").select("p_partkey", "p_brand", tables.grid(part_table()).alias("grid"))
+    made = table(spark, sf, "part", spread=True).select("p_partkey", "p_brand", tables.grid(part_table()).alias("grid"))
     return made.select("p_partkey", tables.table_text(F.col("p_brand"), F.col("grid"), F.lit("")).alias("text"))
 
 

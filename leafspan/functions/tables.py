@@ -129,13 +129,15 @@ def header_rows(cells: Column) -> Column:
 def headers(cells: Column, n_rows: Column) -> Column:
     """Sorted distinct header paths, levels joined by `` > ``."""
     first = F.get(cells, F.lit(0))
-    path = lambda j: F.array_join(
-        F.array_distinct(F.filter(F.transform(F.slice(cells, 1, n_rows), lambda row: T.strip(F.get(row, j))), lambda x: x != "")),
+    path = lambda n, j: F.array_join(
+        F.array_distinct(F.filter(F.transform(F.slice(cells, 1, n), lambda row: T.strip(F.get(row, j))), lambda x: x != "")),
         " > ",
     )
     columns = F.when(F.size(first) > 0, F.sequence(F.lit(0), F.size(first) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.array_sort(F.array_distinct(F.array_remove(F.transform(columns, path), "")))
-    return F.when((n_rows > 0) & (F.size(cells) >= n_rows), found).otherwise(F.array().cast("array<string>"))
+    found = lambda n: F.array_sort(F.array_distinct(F.array_remove(F.transform(columns, lambda j: path(n, j)), "")))
+    listed = lambda n: F.when((n > 0) & (F.size(cells) >= n), found(n)).otherwise(F.array().cast("array<string>"))
+    # Bound by an array of one, the number of rows is worked out once and not again for every column.
+    return F.get(F.transform(F.array(n_rows), listed), F.lit(0))
 
 
 def table_text(caption: Column, cells: Column, footnote: Column) -> Column:

@@ -175,3 +175,13 @@ def test_records(spark):
     rows = records.parse_records(spark.createDataFrame([(1, reply)], "n int, r string"), "r").cache()
     assert [(r.entity_name, r.entity_type, r.description) for r in records.record_entities(rows).collect()] == [("spark   co", "org", "an engine")]
     assert [(r.src_entity_name, r.tgt_entity_name, r.weight) for r in records.record_relations(rows).orderBy("seq").collect()] == [("a", "b", 7.0), ("a", "c", 1.0)]
+
+
+def test_part_queries_read_a_single_row_group_in_parallel(spark, tmp_path):
+    from leafspan import catalog
+
+    rows = "id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 3 AS p_size, 2.5D AS p_retailprice"
+    spark.range(0, 400, 1, 1).selectExpr(*rows.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("table_headers", "table_text", "table_grid", "list_answers"):
+        made = catalog.queries()[name](spark, str(tmp_path))
+        assert len(made.select(F.spark_partition_id()).distinct().collect()) > 1, name
