@@ -34,6 +34,8 @@ def pair_batches(pairs: DataFrame, budget: int = PROMPT_WORDS, most: int = PAIRS
     A batch holds at most ``most`` pairs and stays under ``budget`` words, unless a single pair does not.
     """
     numbered = dense_number(pairs, ["doc_id"], "pdf_id", "nth", rows).withColumn("words", T.word_count(F.col("payload")))
+    # Packing reads the sizes first and the pairs again at its end.
+    numbered = cut_lineage(numbered)
     grouped = greedy_groups(numbered, ["doc_id"], "nth", "words", budget - 1, most, rows)
     return grouped.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("nth", "pdf_id", "payload"))).alias("batch"))
 
@@ -63,7 +65,7 @@ def judged(
 
 def accepted_continuations(made: DataFrame, generator: Generator, rows: int | None = ROWS_PER_SEGMENT, budget: int = PROMPT_WORDS) -> DataFrame:
     """Continuations ``(doc_id, pdf_id, candidate_id)`` that the model takes for a cut-off paragraph."""
-    found = B.continuation_candidates(made, rows=rows)
+    found = cut_lineage(B.continuation_candidates(made, rows=rows))
     texts = made.select("doc_id", F.col("pdf_id").alias("candidate_id"), F.coalesce("text", F.lit("")).alias("text"))
     listed = F.array_sort(F.collect_list(F.struct(F.col("candidate_id").alias("pdf_id"), "text")))
     # A search never passes two pages, which bounds the list.

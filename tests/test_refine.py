@@ -102,3 +102,17 @@ def test_merges_that_meet_a_third_entity(merged):
 def test_edges_follow_their_entities(merged):
     got = [(r.src, r.tgt, r.weight) for r in merged.edges.collect()]
     assert got == [("Name: e\nType: T", "Name: f\nType: U", 3.0)]
+
+
+def test_payloads_of_pairs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def payload(text):
+        made.add(1)
+        return text
+
+    pairs = spark.createDataFrame([("d", i, "one two") for i in range(1, 8)], "doc_id string, pdf_id int, text string")
+    batches = refine.pair_batches(pairs.select("doc_id", "pdf_id", payload("text").alias("payload")), budget=7)
+    assert sorted(tuple(p.pdf_id for p in r.batch) for r in batches.collect()) == [(1, 2, 3), (4, 5, 6), (7,)]
+    assert made.value == 7
