@@ -59,6 +59,8 @@ def rank_inputs(spark, sf):
     edges = lines.groupBy(F.col("l_returnflag").alias("doc_id"), supplier.alias("src"), part.alias("tgt")).agg(
         F.count("*").cast("double").alias("weight")
     )
+    # Read for both ends of the nodes and in both directions by the ranks.
+    edges = cut_lineage(edges)
     discounts = lines.groupBy(F.col("l_returnflag").alias("doc_id"), supplier.alias("node_name")).agg(F.sum("l_discount").alias("weight"))
     flags = F.collect_set("l_returnflag")
     parts = table(spark, sf, "part").select(

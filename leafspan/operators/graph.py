@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,11 +133,12 @@ def pagerank(
 
     Each iteration is two aggregations that combine before the shuffle, and its result is checkpointed. The out-edges
     of a hub are split over salts in proportion to its degree. Edges are dealt out by their source once and kept there; an
-    iteration moves ranks only.
+    iteration moves ranks only. Documents that are done leave the iteration, and their ranks are put together at the end.
     """
-    both = edges.select("doc_id", F.col("src").alias("u"), F.col("tgt").alias("v"), "weight").unionByName(
-        edges.select("doc_id", F.col("tgt").alias("u"), F.col("src").alias("v"), "weight")
-    )
+    # Both are read several times: callers hand over materialised edges, and the nodes are kept here.
+    nodes = cut_lineage(nodes.select("doc_id", "node_name", "weight"))
+    ends = F.array(F.struct(F.col("src").alias("u"), F.col("tgt").alias("v")), F.struct(F.col("tgt").alias("u"), F.col("src").alias("v")))
+    both = edges.select("doc_id", F.explode(ends).alias("end"), "weight").select("doc_id", "end.u", "end.v", "weight")
     out = both.groupBy("doc_id", "u").agg(
         F.sum("weight").alias("out"), F.ceil(F.count("*") / EDGES_PER_SALT).cast("int").alias("salts")
     ).filter("out > 0")
@@ -157,11 +160,14 @@ def pagerank(
     )
     shares = placed_edges(shares).persist()
     state = cut_lineage(state)
+    finished = []
     try:
         for _ in range(max_iterations + 1):
             state = cut_lineage(_rank_step(state, shares, alpha, tolerance))
-            if state.filter(~F.col("done")).isEmpty():
-                return state.select("doc_id", "node_name", "rank")
+            finished.append(state.filter("done").select("doc_id", "node_name", "rank"))
+            state = state.filter(~F.col("done"))
+            if state.isEmpty():
+                return reduce(DataFrame.unionByName, finished)
     finally:
         shares.unpersist()
     raise RuntimeError(f"rank iteration did not converge within {max_iterations} iterations")
@@ -174,26 +180,24 @@ def placed_edges(shares: DataFrame) -> DataFrame:
 
 
 def _rank_step(state: DataFrame, shares: DataFrame, alpha: float, tolerance: float) -> DataFrame:
-    """One iteration; a document whose last change was small enough keeps its ranks and is done."""
-    active = state.filter(~F.col("done"))
-    spread = active.filter(F.col("salts").isNotNull()).select(
+    """One iteration over documents that are not done; one whose last change was small enough keeps its ranks and is done."""
+    spread = state.filter(F.col("salts").isNotNull()).select(
         "doc_id", F.col("node_name").alias("u"), "rank", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
     received = (
         shares.join(spread, ["doc_id", "u", "salt"])
         .groupBy("doc_id", F.col("v").alias("node_name")).agg(F.sum(F.col("rank") * F.col("share")).alias("received"))
     )
-    per_document = active.groupBy("doc_id").agg(
+    per_document = state.groupBy("doc_id").agg(
         F.sum(F.when(F.col("salts").isNull(), F.col("rank")).otherwise(0.0)).alias("dangling"),
         F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))) < F.max("n") * tolerance, F.lit(False)).alias("settled"),
     )
     inflow = F.coalesce("received", F.lit(0.0)) + F.col("dangling") * F.col("start")
-    moved = active.join(per_document, "doc_id").join(received, ["doc_id", "node_name"], "left").select(
+    return state.join(per_document, "doc_id").join(received, ["doc_id", "node_name"], "left").select(
         "doc_id", "node_name", "start", "n", "salts",
         F.when(F.col("settled"), F.col("rank")).otherwise(alpha * inflow + (1 - alpha) * F.col("start")).alias("rank"),
         F.col("rank").alias("before"), F.col("settled").alias("done"),
     )
-    return state.filter("done").unionByName(moved)
 
 
 def node_scores(ranks: DataFrame, bridge: DataFrame, targets: DataFrame | None = None) -> DataFrame:

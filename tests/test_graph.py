@@ -45,6 +45,26 @@ def test_rank_of_several_graphs(spark, monkeypatch):
     assert sum(r.rank for r in ranks if r.doc_id == "a") == pytest.approx(1)
 
 
+def test_rank_moves_only_documents_that_are_not_done(spark, monkeypatch):
+    step, given = graph._rank_step, []
+
+    def recorded(state, *rest):
+        given.append({r.doc_id for r in state.select("doc_id").distinct().collect()})
+        return step(state, *rest)
+
+    monkeypatch.setattr(graph, "_rank_step", recorded)
+    nodes = [("early", "x", 1.0), ("late", "a", 1.0), ("late", "b", 0.0), ("late", "c", 0.0)]
+    edges = [("late", "a", "b", 1.0), ("late", "b", "c", 3.0)]
+    ranks = graph.pagerank(
+        spark.createDataFrame(nodes, "doc_id string, node_name string, weight double"),
+        spark.createDataFrame(edges, "doc_id string, src string, tgt string, weight double"),
+    ).collect()
+    found = {r.node_name: r.rank for r in ranks}
+    assert given[0] == {"early", "late"} and given[-1] == {"late"} and len(ranks) == 4
+    assert found.pop("x") == pytest.approx(1)
+    assert found == pytest.approx(rank_model("abc", [e[1:] for e in edges], {"a": 1.0}), abs=1e-9)
+
+
 def test_clusters(spark):
     pairs = [("d", f"n{i}", f"n{i + 1}") for i in range(9)] + [("d", "x", f"y{i}") for i in range(20)] + [("e", "n0", "n5")]
     found = {(r.doc_id, r.name): r.root for r in entities.clusters(spark.createDataFrame(pairs, "doc_id string, left string, right string")).collect()}
