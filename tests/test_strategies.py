@@ -1,5 +1,9 @@
 """Retrieval strategies, answers and summaries on a small tree with known outcomes."""
 
+import hashlib
+import random
+
+import numpy as np
 import pytest
 from leafspan.models.base import ExtractiveGenerator, HashEmbedder, OverlapReranker, once_per_value
 from leafspan.operators import graph, summaries
@@ -46,6 +50,44 @@ def test_linking_is_exact_first_and_keeps_one_start(index, asked):
     assert by_question["q1", "alpha"] == 1.0 and by_question["q2", "delta"] == 1.0
 
 
+def no_index(*args, **kwargs):
+    raise AssertionError("a question meets the items of its own document only")
+
+
+def test_linking_meets_the_entities_of_the_document_only(index, asked, monkeypatch):
+    monkeypatch.setattr(strategies.vectors, "nearest", no_index)
+    found = strategies.link_entities(asked, index, strategies.Models(), strategies.TreeGraphSettings(max_distance=2.1))
+    assert {(r.qid, r.node_name) for r in found.collect()} >= {("q1", "alpha"), ("q2", "delta")}
+
+
+def test_by_vector_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(strategies.vectors, "nearest", no_index)
+    rng = random.Random(3)
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 4)))
+    nodes = [(d, i, text()) for d in ("d", "e") for i in range(25)]
+    questions = [("q1", "d", "ab cd"), ("q2", "d", "ef"), ("q3", "e", "gh ij ij"), ("q4", "none", "ab")]
+    items = spark.createDataFrame(nodes, "doc_id string, index_id int, content string")
+    found = strategies.by_vector(
+        spark.createDataFrame(questions, "qid string, doc_id string, question string"),
+        items.select("doc_id", "index_id", HashEmbedder().embed(F.col("content")).alias("embedding")), topk=4,
+    )
+
+    def vector(value):
+        made = np.zeros(64)
+        for word in value.split():
+            made[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+        return made / (np.linalg.norm(made) or 1)
+
+    expected = []
+    for q, doc, question in questions:
+        scored = sorted((-round(float(vector(question) @ vector(c)), 9), f"{i}}}", i) for d, i, c in nodes if d == doc)
+        expected += [(q, doc, i, rank, -s) for rank, (s, _, i) in enumerate(scored[:4], 1)]
+    got = sorted((r.qid, r.doc_id, r.index_id, r.rank, r.similarity) for r in found.collect())
+    assert [g[:4] for g in got] == sorted(e[:4] for e in expected)
+    assert [g[4] for g in got] == pytest.approx([e[4] for e in sorted(expected)], abs=1e-8)
+
+
 def test_few_candidates_are_all_returned(index, asked):
     found = strategies.tree_graph(asked, index)
     assert ids(found, "q1") == {2, 3, 4} and ids(found, "q2") == {5, 6, 7}
