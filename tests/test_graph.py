@@ -165,3 +165,44 @@ def test_decisions_that_name_one_entity_three_times_keep_its_name(spark):
     key = lambda n: f"Name: {n}\nType: T"
     names = merging.final_names(spark.createDataFrame(rows, columns)).select("old_key", "new_key").collect()
     assert sorted(map(tuple, names)) == [(key("a"), key("a")), (key("b"), key("a")), (key("c"), key("a")), (key("x"), key("x"))]
+
+
+def test_small_graphs_are_ranked_in_tasks_as_joins_rank_them(spark):
+    rng = random.Random(5)
+    nodes, edges = [("zero", "a", 0.0), ("zero", "b", 0.0), ("lone", "a", 2.0)], [("zero", "a", "b", 1.0)]
+    for doc, n in (("d1", 6), ("d2", 15), ("d3", 40)):
+        nodes += [(doc, f"n{i}", float(rng.choice([0, 0, 1, 3])) + (i == 0)) for i in range(n)]
+        pairs = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(2 * n)}
+        edges += [(doc, f"n{a}", f"n{b}", float(rng.randint(0, 4))) for a, b in sorted(pairs) if b != n - 1]
+    edges += [("d1", "n0", "elsewhere", 2.0), ("d1", "n1", "n1", 1.0)]
+    nodes = spark.createDataFrame(nodes, "doc_id string, node_name string, weight double")
+    edges = spark.createDataFrame(edges, "doc_id string, src string, tgt string, weight double")
+    found = [{(r.doc_id, r.node_name): r["rank"] for r in graph.pagerank(nodes, edges, whole=whole).collect()} for whole in (0, 60, 1_000)]
+    assert found[0].keys() == found[1].keys() == found[2].keys() and len(found[0]) == 62
+    for key, rank in found[0].items():
+        assert found[1][key] == pytest.approx(rank, abs=1e-12) and found[2][key] == pytest.approx(rank, abs=1e-12)
+
+
+def test_small_graphs_need_no_round_of_jobs_each_iteration(spark):
+    nodes = spark.createDataFrame([("d", f"n{i}", float(i == 0)) for i in range(30)], "doc_id string, node_name string, weight double")
+    edges = spark.createDataFrame([("d", f"n{i}", f"n{i + 1}", 1.0) for i in range(29)], "doc_id string, src string, tgt string, weight double")
+    context = spark.sparkContext
+    context.setJobGroup("ranks", "")
+    try:
+        graph.pagerank(nodes, edges, whole=100).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("ranks")) < 15
+
+
+def test_small_graphs_that_do_not_settle_are_refused(spark):
+    nodes = spark.createDataFrame([("d", "a", 1.0), ("d", "b", 0.0)], "doc_id string, node_name string, weight double")
+    edges = spark.createDataFrame([("d", "a", "b", 1.0)], "doc_id string, src string, tgt string, weight double")
+    with pytest.raises(Exception, match="did not converge"):
+        graph.pagerank(nodes, edges, tolerance=0.0, max_iterations=2, whole=100).collect()
+
+
+def test_graphs_without_start_weights_fill_no_bundle(spark):
+    nodes = spark.createDataFrame([("d", "a", 0.0), ("d", "b", 0.0)], "doc_id string, node_name string, weight double")
+    edges = spark.createDataFrame([("d", "a", "b", 1.0), ("e", "a", "b", 1.0)], "doc_id string, src string, tgt string, weight double")
+    assert graph.pagerank(nodes, edges, whole=100).isEmpty()
