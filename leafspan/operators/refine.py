@@ -28,15 +28,19 @@ TABLE_TASK = "For each pair of tables say whether the second continues the first
 TEXT_TASK = "For each cut-off text list the candidates that continue it as stitched_pdf_ids, or -1 alone if none does.\n"
 
 
-def pair_batches(pairs: DataFrame, budget: int = PROMPT_WORDS, most: int = PAIRS_PER_PROMPT, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
-    """``(doc_id, group, batch)``: runs of pairs ``(doc_id, pdf_id, payload)`` that share a prompt, as arrays in order.
+def pair_groups(pairs: DataFrame, budget: int = PROMPT_WORDS, most: int = PAIRS_PER_PROMPT, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
+    """Pairs ``(doc_id, pdf_id, words, ...)`` with ``nth`` and ``group``: runs of pairs that share a prompt.
 
-    A batch holds at most ``most`` pairs and stays under ``budget`` words, unless a single pair does not.
+    A group holds at most ``most`` pairs and stays under ``budget`` words, unless a single pair does not.
     """
-    numbered = dense_number(pairs, ["doc_id"], "pdf_id", "nth", rows).withColumn("words", T.word_count(F.col("payload")))
     # Packing reads the sizes first and the pairs again at its end.
-    numbered = cut_lineage(numbered)
-    grouped = greedy_groups(numbered, ["doc_id"], "nth", "words", budget - 1, most, rows)
+    numbered = cut_lineage(dense_number(pairs, ["doc_id"], "pdf_id", "nth", rows))
+    return greedy_groups(numbered, ["doc_id"], "nth", "words", budget - 1, most, rows)
+
+
+def pair_batches(pairs: DataFrame, budget: int = PROMPT_WORDS, most: int = PAIRS_PER_PROMPT, rows: int | None = ROWS_PER_SEGMENT) -> DataFrame:
+    """``(doc_id, group, batch)``: the groups of pairs ``(doc_id, pdf_id, payload)`` as arrays in order, see :func:`pair_groups`."""
+    grouped = pair_groups(pairs.withColumn("words", T.word_count(F.col("payload"))), budget, most, rows)
     return grouped.groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("nth", "pdf_id", "payload"))).alias("batch"))
 
 

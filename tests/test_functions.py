@@ -185,3 +185,24 @@ def test_part_queries_read_a_single_row_group_in_parallel(spark, tmp_path):
     for name in ("table_headers", "table_text", "table_grid", "list_answers"):
         made = catalog.queries()[name](spark, str(tmp_path))
         assert len(made.select(F.spark_partition_id()).distinct().collect()) > 1, name
+
+
+def test_cut_off_texts_are_found_as_by_the_plain_patterns(spark):
+    def plain(text):
+        strip = lambda c: F.regexp_replace(c, f"^{T.BLANK}+|{T.BLANK}+$", "")
+        body = strip(text)
+        unquoted = F.regexp_replace(body, "['\"]+$", "")
+        last = F.lower(F.regexp_extract(unquoted, r"(\w+)\W*$", 1))
+        told = F.when(body.isNull() | (T.word_count(body) < 5) | (F.length(body) < 25), False).when(body.endswith("-"), True)
+        told = told.when(unquoted.rlike("[,:;]$"), True).when(~unquoted.rlike("[.!?]$"), True).when(last.isin(T.CONNECTORS), True)
+        return strip(text), told.otherwise(False)
+
+    lead = "one two three four five six seven"
+    ends = [" and", " and.", " end.", " end", ":", ";'\"", ".'\"", ",\r\"", ".\r\n'", ".\u2028\"", ".\n\n'", " -", "-", " of \u3000", " and!!! ...", " \u00e9t\u00e9.", "\u3000.", " the).", "_and."]
+    texts = [None, "", " ", "\u2003\u3000", "a b c d e", "\u00a0x\u0085", *[pad + lead + end + pad for end in ends for pad in ("", "\t", "\u2028 ")]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    stripped, told = plain(F.col("x"))
+    rows = df.select("x", T.strip(F.col("x")).alias("a"), stripped.alias("b"), T.looks_incomplete(F.col("x")).alias("c"), told.alias("d")).collect()
+    assert [(r.a, r.c) for r in rows] == [(r.b, r.d) for r in rows] and len({r.c for r in rows}) == 2
+    # A long text is passed once: its last word is looked for at the beginnings of words only.
+    assert "(?<!" in str(T.looks_incomplete(F.col("x")))
