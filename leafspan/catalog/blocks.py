@@ -157,8 +157,11 @@ FROM numbered n LEFT JOIN tails t ON t.doc_id = n.doc_id AND t.pdf_id = n.pdf_id
 LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.pdf_id = n.pdf_id""",
 )
 def blocks_stitch(spark, sf):
-    made, rows = numbered(spark, sf), segment_length(spark, sf)
-    return blocks.stitch(made, blocks.continuation_candidates(made, rows=rows)).select("doc_id", "pdf_id", "text", "invalid")
+    rows = segment_length(spark, sf)
+    # Read by the search, for the texts of the candidates and for the result.
+    made = cut_lineage(numbered(spark, sf, rows).select("doc_id", "pdf_id", "type", "text", "text_level", "page_idx", "invalid"))
+    found = blocks.continuation_candidates(made, rows=rows)
+    return blocks.stitch(made, found).select("doc_id", "pdf_id", "text", "invalid")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafspan.functions import text as T
 from leafspan.operators.scan import ROWS_PER_SEGMENT, Running, dense_number, position_segment, prefix_scan
+from leafspan.session import cut_lineage
 
 MAX_PAGE_GAP = 2
 
@@ -111,7 +112,10 @@ def stitch(blocks: DataFrame, accepted: DataFrame) -> DataFrame:
     Continuations never pass two pages, which bounds the list gathered per paragraph.
     """
     texts = blocks.select("doc_id", F.col("pdf_id").alias("candidate_id"), "text", "type")
-    pieces = accepted.join(texts, ["doc_id", "candidate_id"]).withColumn("piece", _joinable(F.col("text")))
+    # Read for the tails and for the merged blocks.
+    pieces = cut_lineage(accepted.join(texts, ["doc_id", "candidate_id"]).select(
+        "doc_id", "pdf_id", "candidate_id", "type", _joinable(F.col("text")).alias("piece")
+    ))
     tails = pieces.groupBy("doc_id", "pdf_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("candidate_id", "piece"))), lambda s: s.piece), ""

@@ -206,3 +206,21 @@ def test_cut_off_texts_are_found_as_by_the_plain_patterns(spark):
     assert [(r.a, r.c) for r in rows] == [(r.b, r.d) for r in rows] and len({r.c for r in rows}) == 2
     # A long text is passed once: its last word is looked for at the beginnings of words only.
     assert "(?<!" in str(T.looks_incomplete(F.col("x")))
+
+
+def test_candidates_are_found_once_for_tails_and_merged_blocks(spark):
+    found = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(block):
+        found.add(1)
+        return block
+
+    made = spark.createDataFrame(
+        [(1, 1, "text", "the start-", False), (1, 2, "text", "goes on", False), (1, 3, "equation", "a = b", False), (1, 4, "text", "Alone", False)],
+        "doc_id int, pdf_id int, type string, text string, invalid boolean",
+    )
+    accepted = spark.createDataFrame([(1, 1, 2), (1, 1, 3)], "doc_id int, pdf_id int, candidate_id int")
+    rows = blocks.stitch(made, accepted.withColumn("pdf_id", counted("pdf_id"))).orderBy("pdf_id").collect()
+    assert [(r.text, r.invalid) for r in rows] == [("the startgoes on a = b", False), ("goes on", True), ("a = b", False), ("Alone", False)]
+    assert found.value == 2
