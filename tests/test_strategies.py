@@ -176,3 +176,13 @@ def test_semantic_edges_respect_cap_and_threshold(spark):
     edges = spark.createDataFrame([("d", "a", "b", 1.0)], "doc_id string, src string, tgt string, weight double")
     found = {(r.src, r.tgt) for r in graph.semantic_edges(nodes, edges).collect()}
     assert found == {("a", "c"), ("c", "d"), ("b", "e")}
+
+
+def test_section_prompts_of_short_documents_are_packed_in_one_step(index, asked, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("packed in segments")
+
+    monkeypatch.setattr("leafspan.operators.packing._following", refuse)
+    mapped = strategies.link_entities(asked, index, strategies.Models(), strategies.TreeGraphSettings())
+    found = strategies.select_sections(asked, mapped, index, strategies.Models(), 2).filter("linked").collect()
+    assert {(r.qid, r.section_id) for r in found} == {("q1", 2), ("q2", 5)}
