@@ -186,3 +186,24 @@ def test_section_prompts_of_short_documents_are_packed_in_one_step(index, asked,
     mapped = strategies.link_entities(asked, index, strategies.Models(), strategies.TreeGraphSettings())
     found = strategies.select_sections(asked, mapped, index, strategies.Models(), 2).filter("linked").collect()
     assert {(r.qid, r.section_id) for r in found} == {("q1", 2), ("q2", 5)}
+
+
+def test_titles_wait_until_their_prompts_are_known(index, asked, monkeypatch):
+    packed = strategies.greedy_groups
+
+    def narrow(items, *rest, **more):
+        assert "title" not in items.columns
+        return packed(items, *rest, **more)
+
+    monkeypatch.setattr(strategies, "greedy_groups", narrow)
+    mapped = strategies.link_entities(asked, index, strategies.Models(), strategies.TreeGraphSettings())
+    found = strategies.select_sections(asked, mapped, index, strategies.Models(), 2).collect()
+    assert {(r.qid, r.section_id) for r in found if r.linked} == {("q1", 2), ("q2", 5)}
+
+
+def test_chooser_reads_its_prompt_once(spark):
+    chooser = strategies.SectionChooser()
+    assert str(chooser.complete(F.col("p"))).count("from_json") == 1
+    rows = [('Input:\n{"question": "Alpha b", "remaining": [{"section_id": 7, "title": "b c"}, {"section_id": 8, "title": "d"}, {"section_id": 9}]}',), ("none",)]
+    told = [r[0] for r in spark.createDataFrame(rows, "p string").select(chooser.complete(F.col("p"))).collect()]
+    assert told == ['{"supplementary_ids":[7]}', "{}"]
