@@ -3,8 +3,10 @@
 A brute-force join compares every query with every vector. Here vectors are grouped into cells around a bounded
 set of pivots, cells are cut into blocks of bounded size, and the triangle inequality of the angular distance
 decides which blocks a query has to visit. Blocks are compared as matrices inside Arrow batches and only the best
-``k`` per query and block leave a task, so no pair table is ever materialised and no task receives more than one
-block of vectors and one block of queries. Equal vectors are compared once.
+``k`` per query and shelf, a bounded run of blocks, leave a task, so no pair table is ever materialised and no task receives
+more than one shelf of vectors and one part of its visitors. A query travels once a shelf with the list of blocks it has to
+visit there, and a shelf once a part; both are large, because what is shuffled grows with their numbers. Equal vectors are
+compared once.
 """
 
 from __future__ import annotations
@@ -15,10 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafspan.session import cut_lineage
+from leafspan.session import cut_lineage, cut_stage
 
 PIVOTS = 64
 BLOCK_ROWS = 4_096
+# Vectors of a shelf and visitors of a part at most; numbers in a shelf; rows that are compared at once.
+SHELF_ROWS = 32_768
+PART_ROWS = 16_384
+SHELF_NUMBERS = 4_194_304
+STRIPE_ROWS = 2_048
+# Shelves, and parts of a shelf's visitors, that a scope is dealt into where it has so many blocks.
+LEAST_PIECES = 8
 ANGLE_SLACK = 1e-6
 SIMILARITY_DIGITS = 9
 ROUNDING = 1e-9
@@ -72,28 +81,50 @@ def similarities(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInArrow(measure, fields)
 
 
+def _best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest scores of each row, and of those equal to the last of them."""
+    width = scores.shape[1]
+    if k >= width:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    valid = np.where(np.isnan(scores), -np.inf, scores)
+    return np.nonzero(valid >= np.partition(valid, width - k, axis=1)[:, width - k, None])
+
+
 def _compare(
     queries: DataFrame, base: DataFrame, id_type: str, query_type: str, minimum: float | None
 ) -> DataFrame:
-    """Best ``wanted`` of each base block for the queries routed to it.
+    """Best ``wanted`` of each shelf of base blocks for the queries routed to it; ``visits`` lists the blocks a query meets.
 
-    A task takes the rows of one ``(bundle, cell, block, part)``; a bundle holds many small scopes, or the blocks of a
+    A task takes the rows of one ``(bundle, shelf, part)``; a bundle holds many small scopes, or the shelves of a
     large one next to a few small ones, and is compared scope by scope.
     """
 
     def best_of_scope(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, SIMILARITY_DIGITS)
         keys = right["vector_key"].to_numpy()
         order = np.argsort(keys, kind="stable")
-        scores, keys = scores[:, order], keys[order]
-        wanted = np.minimum(left["wanted"].to_numpy(), scores.shape[1])
-        kept = int(wanted.max())
-        picks = np.argsort(-scores, axis=1, kind="stable")[:, :kept]
-        inside = np.arange(kept) < wanted[:, None]
-        return (
-            np.repeat(left["query_id"].to_numpy(), wanted), np.repeat(left["wanted"].to_numpy(), wanted),
-            keys[picks[inside]], np.take_along_axis(scores, picks, axis=1)[inside],
-        )
+        keys, there = keys[order], _unit(right["vector"])[order]
+        blocks, of = np.unique(right["block"].to_numpy()[order], return_inverse=True)
+        members = [np.flatnonzero(of == b) for b in range(len(blocks))]
+        here, wanted, visits = _unit(left["vector"]), left["wanted"].to_numpy(), left["visits"].to_numpy()
+        meets = np.zeros((len(left), len(blocks)), dtype=bool)
+        asked = np.repeat(np.arange(len(left)), [len(v) for v in visits])
+        meets[asked, np.searchsorted(blocks, np.concatenate(visits))] = True
+        found = []
+        for start in range(0, len(left), STRIPE_ROWS):
+            parts = []
+            for b, columns in enumerate(members):
+                rows = start + np.flatnonzero(meets[start : start + STRIPE_ROWS, b])
+                if len(rows):
+                    scores = np.round(here[rows] @ there[columns].T, SIMILARITY_DIGITS)
+                    r, c = _best_cells(scores, int(wanted[rows].max()))
+                    parts.append((rows[r], columns[c], scores[r, c]))
+            row, column, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, int)] * 3
+            sorting = np.lexsort((column, -score, row))
+            row, column, score = row[sorting], column[sorting], score[sorting]
+            inside = np.arange(len(row)) - np.searchsorted(row, row) < wanted[row]
+            found.append((row[inside], column[inside], score[inside]))
+        row, column, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return left["query_id"].to_numpy()[row], wanted[row], keys[column], score
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         base = dict(list(right.groupby("scope", sort=False)))
@@ -104,7 +135,7 @@ def _compare(
         # Some versions of pandas hand over empty columns of strings in a form that Arrow refuses.
         return pd.DataFrame(dict(zip(["query_id", "wanted", "vector_key", "similarity"], columns, strict=True)), dtype=None if len(columns[0]) else object)
 
-    address = ["bundle", "cell", "block", "part"]
+    address = ["bundle", "shelf", "part"]
     return (
         queries.groupBy(*address)
         .cogroup(base.groupBy(*address))
@@ -158,8 +189,8 @@ def nearest(
     )
     distinct = copies.filter(F.col("nth") == 1).select("scope", "vector_key", "vector")
     # Pivots pay off once a scope holds several blocks; smaller scopes are compared in one visit.
-    sizes = distinct.groupBy("scope").agg(F.count("*").alias("n"))
-    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    sizes = distinct.groupBy("scope").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"))
+    total, largest, width = sizes.agg(F.sum("n"), F.max("n"), F.max("width")).first()
     wanted = -(-(largest or 0) * 4 // block_rows)
     bundle = F.pmod(F.xxhash64("scope"), F.lit(max(1, 4 * (total or 0) // block_rows))).cast("int")
     if not total:
@@ -183,24 +214,38 @@ def nearest(
 
     if largest <= block_rows and (asking.groupBy("scope").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= block_rows:
         # Every scope is one block, which all its queries visit: nothing is routed.
-        address = [bundle.alias("bundle"), *(F.lit(0).alias(name) for name in ("cell", "block", "part"))]
+        address = [bundle.alias("bundle"), *(F.lit(0).alias(name) for name in ("shelf", "part"))]
+        block = F.lit(0).cast("long")
         return ranked(_compare(
-            asking.select("query_id", "vector", "wanted", "scope", *address), distinct.select("vector_key", "vector", "scope", *address),
+            asking.select("query_id", "vector", "wanted", "scope", F.array(block).alias("visits"), *address),
+            distinct.select("vector_key", "vector", "scope", block.alias("block"), *address),
             id_type, query_type, min_similarity,
         ))
 
     pivots = _choose_pivots(distinct, min(pivot_count, wanted) if wanted > 4 else 1)
     placed = _angles_to_pivots(distinct, pivots).withColumn("angle", F.array_min("angles"))
     placed = placed.withColumn("cell", (F.array_position("angles", F.col("angle")) - 1).cast("int")).drop("angles").persist()
+    # Blocks of a scope in order of their cells fill its shelves.
+    most = max(block_rows, min(SHELF_ROWS, SHELF_NUMBERS // max(1, width or 0)))
+    whole, earlier = Window.partitionBy("scope"), Window.partitionBy("scope").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.sum("n").over(whole)
+    shelves = F.greatest(F.ceil(held / most), F.least(F.lit(LEAST_PIECES), F.ceil(held / block_rows)))
     limits = (
         placed.groupBy("scope", "cell")
         .agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-        .withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")).drop("n")
+        .withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+        .withColumns({"start": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "shelf_rows": F.ceil(held / shelves)})
         .persist()
     )
-    placed = placed.join(limits.select("scope", "cell", "blocks"), ["scope", "cell"]).withColumn(
+
+    def shelved(df: DataFrame) -> DataFrame:
+        """``shelf`` and number ``code`` of a block, from the columns of ``limits``."""
+        first = F.col("start") + F.floor(F.col("n") * F.col("block") / F.col("blocks"))
+        return df.withColumns({"shelf": F.floor(first / F.col("shelf_rows")).cast("int"), "code": F.shiftleft(F.col("cell").cast("long"), 32) + F.col("block")})
+
+    placed = shelved(placed.join(limits.drop("low", "high"), ["scope", "cell"]).withColumn(
         "block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")
-    )
+    ))
     asked = _angles_to_pivots(asking, pivots)
     reach = (
         asked.select("scope", "query_id", F.posexplode("angles").alias("cell", "angle"))
@@ -210,20 +255,25 @@ def nearest(
     questions = asked.select("query_id", "vector", "wanted")
 
     def visit(targets: DataFrame) -> DataFrame:
-        """Compare ``(scope, query_id, cell, block)`` targets; blocks with many visitors are visited in parts."""
-        visitors = targets.groupBy("scope", "cell", "block").agg(F.count("*").alias("visitors"))
-        parts = visitors.withColumn("parts", F.ceil(F.col("visitors") / block_rows).cast("int")).drop("visitors")
+        """Compare targets, queries with the columns of ``limits`` and a ``block``; shelves with many visitors are visited in parts."""
+        targets = shelved(targets).groupBy("scope", "query_id", "shelf").agg(F.collect_set("code").alias("visits"), F.count("*").alias("times"))
+        # Repeated queries stay repeated. Read for the number of visitors and for the visits.
+        targets = cut_stage(targets.withColumn("times", F.explode(F.array_repeat(F.lit(0), (F.col("times") / F.size("visits")).cast("int")))).drop("times"))
+        visitors = targets.groupBy("scope", "shelf").agg(F.count("*").alias("n"))
+        parts = visitors.withColumn(
+            "parts", F.greatest(F.ceil(F.col("n") / max(block_rows, PART_ROWS)), F.least(F.lit(LEAST_PIECES), F.ceil(F.col("n") / block_rows))).cast("int")
+        ).drop("n")
         left = (
-            targets.join(parts, ["scope", "cell", "block"])
+            targets.join(parts, ["scope", "shelf"])
             .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
             .join(questions, "query_id")
         )
-        right = placed.join(parts, ["scope", "cell", "block"]).withColumn(
+        right = placed.join(parts, ["scope", "shelf"]).withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         )
         return _compare(
-            left.select("query_id", "vector", "wanted", "scope", bundle.alias("bundle"), "cell", "block", "part"),
-            right.select("vector_key", "vector", "scope", bundle.alias("bundle"), "cell", "block", "part"),
+            left.select("query_id", "vector", "wanted", "scope", "visits", bundle.alias("bundle"), "shelf", "part"),
+            right.select("vector_key", "vector", "scope", F.col("code").alias("block"), bundle.alias("bundle"), "shelf", "part"),
             id_type, query_type, min_similarity,
         )
 
@@ -232,12 +282,9 @@ def nearest(
     elif min_similarity is not None:
         bounded = reach.withColumn("bound", F.lit(float(np.arccos(np.clip(min_similarity - ROUNDING, -1.0, 1.0)))))
     else:
-        home = reach.groupBy("scope", "query_id").agg(F.min(F.struct("angle", "cell", "blocks")).alias("home"))
+        home = reach.groupBy("scope", "query_id").agg(F.min(F.struct("angle", "cell", "blocks", "n", "start", "shelf_rows")).alias("home"))
         first = visit(
-            home.select(
-                "scope", "query_id", "home.cell",
-                F.pmod(F.xxhash64("query_id"), F.col("home.blocks")).cast("int").alias("block"),
-            )
+            home.select("scope", "query_id", "home.*").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
         )
         kth = first.groupBy("query_id").agg(
             F.when(F.count("*") >= F.max("wanted"), F.acos(F.greatest(F.min("similarity") - ROUNDING, F.lit(-1.0))))
@@ -246,7 +293,7 @@ def nearest(
         bounded = reach.join(kth, "query_id")
     matches = visit(
         bounded.filter(F.col("gap") <= F.col("bound") + ANGLE_SLACK)
-        .select("scope", "query_id", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
     return ranked(matches)
 

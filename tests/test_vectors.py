@@ -70,3 +70,23 @@ def test_neighbours_are_searched_once_for_near_and_forced_matches(spark, monkeyp
     rows = vectors.nearest_within(asked, found, "q", "e", "v", "e", 0.3, group="g").collect()
     assert sorted((r.q, r.v, r.forced) for r in rows) == [(1, 7, False), (3, 9, True)]
     assert searched.value == 3
+
+
+def test_a_query_travels_once_a_shelf(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    sent, compare = [], vectors._compare
+
+    def counted(queries, *rest):
+        sent.append(queries.count())
+        return compare(queries, *rest)
+
+    monkeypatch.setattr(vectors, "_compare", counted)
+    found = vectors.nearest(df.selectExpr("id AS q", "v"), df, "q", "v", "id", "v", 3, exclude_same_id=True, block_rows=4, pivot_count=4).collect()
+    # There are 60 blocks and more, which all queries visit; the visits to a shelf are one row.
+    assert max(sent) <= 240 * (vectors.LEAST_PIECES + 1)
+    unit = np.array([v / np.linalg.norm(v) for _, v in rows])
+    scores = np.round(unit @ unit.T, 9)
+    expected = {(i, j) for i in range(240) for j in sorted((j for j in range(240) if j != i), key=lambda j: (-scores[i, j], j))[:3]}
+    assert {(r.q, r.id) for r in found} == expected
