@@ -15,7 +15,7 @@ from leafspan.functions.chunks import chunks
 from leafspan.models.base import Embedder, Generator
 from leafspan.operators.mixtures import grouped_clusters
 from leafspan.operators.scan import Running, dense_number, position_segment, prefix_scan
-from leafspan.session import cut_lineage
+from leafspan.session import cut_lineage, cut_stage
 
 # Limits of the clustering and of the recursion.
 REDUCED_DIMENSIONS = 5
@@ -110,7 +110,7 @@ def reduce_in_order(texts: DataFrame, keys: list[str], generator: Generator, per
             F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("joined")
         )
         summary = T.truncate_words(generator.complete(F.concat(F.lit("Summarise.\nEvidence:\n"), F.col("joined"))), SUMMARY_WORDS)
-        state = cut_lineage(grouped.select(*keys, "nth", summary.alias("text")))
+        state = cut_stage(grouped.select(*keys, "nth", summary.alias("text")))
         if (state.agg(F.max("nth")).first()[0] or 0) == 0:
             return state.drop("nth")
 
@@ -153,7 +153,7 @@ def tree_summaries(nodes: DataFrame, generator: Generator, words: int = 400, per
     keys = ["doc_id", "index_id"]
     below, told = None, None
     for depth in range(deepest, -1, -1):
-        own = cut_lineage(placed.filter(F.col("__depth") == depth).select(*keys, "parent_id", F.coalesce("content", F.lit("")).alias("content")))
+        own = cut_stage(placed.filter(F.col("__depth") == depth).select(*keys, "parent_id", F.coalesce("content", F.lit("")).alias("content")))
         texts = own.select(*keys, F.lit(-1).cast("long").alias("child"), F.col("content").alias("text"))
         if below is not None:
             summary = F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(F.col("content"))
@@ -163,7 +163,7 @@ def tree_summaries(nodes: DataFrame, generator: Generator, words: int = 400, per
         pieces = texts.select(*keys, "child", F.posexplode(cut).alias("at", "text"))
         numbered = prefix_scan(pieces, keys, ["child", "at"], {"nth": Running("sum", F.lit(1))}, position_segment("child", rows))
         made = reduce_in_order(numbered, keys, generator, per_part, rows).withColumnRenamed("text", "summary")
-        below = cut_lineage(own.join(made, keys))
+        below = cut_stage(own.join(made, keys))
         level = below.select(*keys, "summary")
         told = level if told is None else told.unionByName(level)
     return nodes.join(told, keys, "left")
